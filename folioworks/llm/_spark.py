@@ -107,8 +107,6 @@ def annotate(df: DataFrame, results: str, compute, column: str = "text", most: i
 
     new = StructType.fromDDL(results)
     kept = [c for c in df.columns if c not in new.names]
-    given = df if column in kept or column not in df.columns else df.withColumnRenamed(column, "__text")
-    column = column if column in kept or column not in df.columns else "__text"
     schema = StructType([f for f in df.schema.fields if f.name in kept] + new.fields)
 
     def run(batches):
@@ -119,7 +117,7 @@ def annotate(df: DataFrame, results: str, compute, column: str = "text", most: i
                 arrays = [b.column(c) for c in kept] + [narrow(x) for x in compute(b)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def narrow(x) -> pa.Array:
