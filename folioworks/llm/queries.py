@@ -23,6 +23,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_index import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import TEMPLATE, format_digest
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op3_line_dedup,
+        op4_substring_dedup,
         op5_chat_formatting,
         op6_url_filters,
         op7_quality_classifier,
