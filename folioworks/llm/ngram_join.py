@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _text
 from ._components import components
@@ -235,7 +236,7 @@ def compare(members: DataFrame, rows: DataFrame, n: int, threshold: float, block
 
 
 def ngram_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.96, rows: int = 4, reach: int = 6, block: int = 1500, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document: doc_id, class_id (least doc_id with its text), n_copies (with itself), n_links (other documents, copies among them, of Jaccard similarity ``threshold`` or more), group_id (least doc_id of those linked with it, directly or not)."""
+    """For each document: doc_id, class_id (least doc_id with its text), n_copies (with itself), n_links (other documents, copies among them, of Jaccard similarity ``threshold`` or more), group_id (least doc_id of those linked with it, directly or not), text_hash."""
     sketch = written(sketches(docs, n, bands_for(threshold, recall, rows), rows, doc_id, text), "sketches")
     classes = written(sketch.groupBy("node", "check").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     buckets = sketch.select(F.explode("bands").alias("key"), "node")
@@ -254,4 +255,17 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: floa
     least = named.groupBy("label").agg(F.min("first").alias("group"))
     named = named.join(least, "label").select("node", "check", "first", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group")
     real = lambda c: F.when(F.col(c) != F.lit(-(2**63)).cast("long"), F.col(c))
-    return sketch.select("doc", "node", "check").join(named, ["node", "check"]).select(real("doc").alias("doc_id"), real("first").alias("class_id"), F.col("copies").alias("n_copies"), "n_links", real("group").alias("group_id"))
+    return sketch.select("doc", "node", "check").join(named, ["node", "check"]).select(real("doc").alias("doc_id"), real("first").alias("class_id"), F.col("copies").alias("n_copies"), "n_links", real("group").alias("group_id"), F.col("node").alias("text_hash"))
+
+
+def one_of_each(docs: DataFrame, joined: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: the least doc_id (then text hash), and one row of it.
+
+    ``joined``: ``ngram_join``'s result for ``docs``.
+    """
+    best = joined.groupBy("group_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc"), "text_hash")).alias("best"))
+    stay = best.select(F.col("best.doc").alias("__doc"), F.col("best.text_hash").alias("__node")).distinct()
+    keyed = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("__node", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    kept = keyed.join(stay.hint("shuffle_hash"), ["__doc", "__node"], "left_semi")
+    one = kept.withColumn("__row", F.row_number().over(Window.partitionBy("__doc", "__node").orderBy(F.lit(1))))  # repeated rows of one document
+    return one.where("__row = 1").select(docs.columns)

@@ -17,6 +17,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, vocabulary="word_bpe_49k.json", closing=0)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup_digest
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_ngram_jaccard_join,
         op3_line_dedup,
         op4_substring_dedup,
         op5_chat_formatting,
