@@ -10,7 +10,7 @@ anchor takes several ranges.  A stream over each range then tells
   kind 1: an equal stretch comes earlier: all its windows are repeats;
   kind 2: the first of its stretch, but its anchor occurs in others: its windows are
           to be compared one by one;
-  kind 0: alone.
+  kind 0: no other stretch has its anchor.
 The first and last rows of a range count as kind 2 when in doubt, which costs a
 comparison and changes no result.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import width
+from ._spark import width, written
 from .line_dedup import identified
 
 ENTRIES = "fp long, sh long, doc long, th int, start int, n int"
@@ -111,7 +111,11 @@ def flagged(all_entries: DataFrame) -> DataFrame:
                 same_row[0] = same_sh[0] and (own[:, 0] == before[2]).all()
             # a repeated row of the table is the same place, not an earlier one: it takes the kind of the row that it repeats
             kind = np.where(same_sh, 1, np.where(same_fp, 2, 0)).astype(np.int32)
-            kind[:-1] = np.where((kind[:-1] == 0) & same_fp[1:], 2, kind[:-1])
+            # the first of its stretch is in doubt if its anchor has another stretch; a group at the batch's edge may have one
+            group = np.cumsum(~same_fp) - (not same_fp[0])
+            n_sh = np.bincount(group, ~same_sh)
+            n_sh[[0, -1]] = 2
+            kind[:-1] = np.where((kind[:-1] == 0) & same_fp[1:] & (n_sh[group[:-1]] > 1), 2, kind[:-1])
             if same_row.any():
                 lead = np.maximum.accumulate(np.where(same_row, -1, np.arange(len(fp))))
                 kind = np.where(same_row, np.where(lead >= 0, kind[np.maximum(lead, 0)], before[3] if before is not None else 2), kind).astype(np.int32)
@@ -135,7 +139,8 @@ def flagged(all_entries: DataFrame) -> DataFrame:
 def to_compare(rows: DataFrame, doubtful: DataFrame) -> DataFrame:
     """doc, th, text, and the stretches (fp, start, n) to compare, for each row of a document that has any."""
     lists = doubtful.distinct().groupBy("doc", "th").agg(F.collect_list(F.struct("fp", "start", "n")).alias("runs"))  # of one document
-    return rows.select("doc", "th", "text").join(lists.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "runs")
+    # the columns and keys of with_spans, so that both read one shuffle of the texts
+    return rows.join(lists.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "runs", "doc_id")
 
 
 def parts(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -147,11 +152,46 @@ def parts(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def first_places(windows: DataFrame) -> DataFrame:
-    """Of windows (fp, wh, doc, th, pos), those that an equal one precedes: doc, th, start, n = 1."""
-    place = F.struct("doc", "th", "pos")
-    firsts = windows.groupBy("fp", "wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("fp", "wh", "first")
-    later = windows.join(firsts, ["fp", "wh"]).where(place != F.col("first"))
-    return later.select("doc", "th", F.col("pos").alias("start"), F.lit(1).alias("n")).distinct()
+    """Of windows (fp, wh, doc, th, pos), those that an equal one precedes: doc, th, start, n.
+
+    Sorted by (fp, wh, place) over ranges; whether the first of a range is a repeat, the
+    last rows of the ranges tell (kinds 3 and 4: two rows a range).
+    """
+    names = ["kind", "fp", "wh", "doc", "th", "start"]
+
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = [b.column(i).to_numpy() for i in range(5)]
+            same = np.zeros(len(x[0]), bool)
+            same[1:] = (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])
+            again = np.zeros(len(x[0]), bool)
+            again[1:] = same[1:] & (x[2][1:] == x[2][:-1]) & (x[3][1:] == x[3][:-1]) & (x[4][1:] == x[4][:-1])
+            if last is None:
+                yield rows(3, [c[:1] for c in x])
+            else:
+                same[0] = x[0][0] == last[0] and x[1][0] == last[1]
+                again[0] = same[0] and all(c[0] == v for c, v in zip(x[2:], last[2:]))
+            found = same & ~again  # a repeated row is the same place: told once
+            if found.any():
+                yield rows(1, [c[found] for c in x])
+            last = [c[-1] for c in x]
+        if last is not None:
+            yield rows(4, [np.array([v]) for v in last])
+
+    def rows(kind, x):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), kind, np.int32)), *(pa.array(c, k) for c, k in zip(x, kinds))], names=names)
+
+    order = ["fp", "wh", "doc", "th", "pos"]
+    by_range = windows.select(*order).repartitionByRange(width(windows.sparkSession), *order).sortWithinPartitions(*order)
+    told = written(by_range.mapInArrow(run, "kind int, fp long, wh long, doc long, th int, start int"), "repeats")
+    lasts = told.where("kind = 4").select("fp", "wh", F.struct("doc", "th", "start").alias("last"))
+    firsts = told.where("kind = 3").join(F.broadcast(lasts), ["fp", "wh"]).where(F.col("last") < F.struct("doc", "th", "start"))
+    found = told.where("kind = 1").select("doc", "th", "start").unionByName(firsts.select("doc", "th", "start").distinct())
+    return found.select("doc", "th", "start", F.lit(1).alias("n"))
 
 
 def covered(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:

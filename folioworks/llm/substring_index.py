@@ -73,7 +73,7 @@ class FingerprintIndex:
         else:  # the merged pass is a compacted run already; it replaces those that it has merged once there are too many
             self.runs = [run] if len(self.runs) + 1 > self.fanout else [*self.runs, self._write(seen.where(seen["doc"] >= first).select(*_repeats.NAMES))]
         rows = batch if history is None else history.unionByName(batch)
-        windows = written(self._windows(_repeats.to_compare(rows, seen.where("kind = 2").select("fp", "doc", "th", "start", "n"))), "windows")
+        windows = self._windows(_repeats.to_compare(rows, seen.where("kind = 2").select("fp", "doc", "th", "start", "n")))
         found = seen.where("kind = 1").select("doc", "th", "start", "n").distinct().unionByName(_repeats.first_places(windows))
         return found if first is None else found.where(found["doc"] >= first)
 
