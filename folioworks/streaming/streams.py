@@ -50,12 +50,21 @@ def finish(stream: DataFrame, to: Callable[[DataFrame, int], None] | None = None
     return stream.sparkSession.table(name)
 
 
-def ttl_cache(requests: DataFrame, seconds: int = 3600) -> DataFrame:
-    """cache_key, ts, hit: whether a request came within ``seconds`` of the entry of its key, kept as state that expires."""
+def ttl_cache(requests: DataFrame, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """cache_key, ts, hit: whether a request came within ``seconds`` of the entry of its key, by event time.
+
+    An entry is state that the watermark removes once it has expired.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    names = ["cache_key", "ts", "hit"]
+
     def each(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
         written = state.get[0] if state.exists else None
         rows = []
         for f in frames:
@@ -65,11 +74,9 @@ def ttl_cache(requests: DataFrame, seconds: int = 3600) -> DataFrame:
                 if not hit:
                     written = t
                 rows.append((key[0], ts, hit))
-        if written is not None:
-            state.update((written,))
-            state.setTimeoutDuration(seconds * 1000)
-        if state.hasTimedOut:
-            state.remove()
-        yield pd.DataFrame(rows, columns=["cache_key", "ts", "hit"])
+        state.update((written,))
+        state.setTimeoutTimestamp(max(int((written + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=names)
 
-    return requests.groupBy("cache_key").applyInPandasWithState(each, "cache_key string, ts timestamp, hit boolean", "written double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = requests.withWatermark("ts", late).groupBy("cache_key")
+    return keyed.applyInPandasWithState(each, "cache_key string, ts timestamp, hit boolean", "written double", "append", GroupStateTimeout.EventTimeTimeout)
