@@ -235,8 +235,9 @@ def sections(spark, d):
 @query
 def section_prune(spark, d):
     b = boxes(spark, d)
-    alive = extract.zones(b).where("not in_footer").select("file_path", "ordinal")
-    return b.join(alive, ["file_path", "ordinal"], "left_semi").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    own = ["file_path", "ordinal", "x0", "y0", "y1"]  # numbers of lines repeat in these tables
+    alive = extract.zones(b).where("not in_footer").select(own)
+    return b.join(alive, own, "left_semi").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ pages and planner
