@@ -6,12 +6,12 @@ a target recall at the threshold.  Equal texts are one class from the start, by
 64-bit and a second hash, and copies are never expanded into pairs.
 
 Band hashes are range-partitioned with the class as secondary sort, so a hot bucket
-takes several ranges; in a bucket each class is linked with the next few only, never
-all with all, and links whose signatures (128 nibbles) have little in common are
-left out.  Within the components that remain, all pairs are verified on the full sets:
-what a bucket leaves unlinked, its component has.  Components of more than ``block``
-classes are cut into blocks that are compared two by two.  Only counts and links to a
-representative leave a comparison, no pairs.
+takes several ranges.  In a bucket each class is linked with the next ``reach``; where
+that leaves pairs out, the signatures (128 nibbles) of all its pairs are compared,
+block against block.  Pairs whose signatures have little in common are left out.  Within
+the components that remain, all pairs are verified on the full sets.  Components of
+more than ``block`` classes are cut into blocks that are compared two by two.  Only
+counts and links to a representative leave a comparison, no pairs.
 
 Null and empty texts (and those without words) have no grams and link only with
 their equals.  Repeated rows are copies.  An empty table gives an empty table.  Other
@@ -105,41 +105,111 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64(body).alias("node"), F.xxhash64(F.lit(1), body).alias("check"), body.alias("text"))
 
 
-def chained(buckets: DataFrame, reach: int) -> DataFrame:
-    """Links (a, b) of each class with the next ``reach`` of its bucket, from rows (key, node), whatever their number."""
+def streamed(buckets: DataFrame, reach: int) -> DataFrame:
+    """From rows (key, node): links of each class with the next ``reach`` of its bucket (kind 0, a, b), the first and last rows of each range (1, key, node), rows of buckets with more classes than those links pair up (2, key, node)."""
+    most = reach + 1  # classes of a bucket whose links are all its pairs
 
     def run(batches):
         tail = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        started = False
+        told = np.zeros(0, bool)  # rows of the tail already given as kind 2
+        head = 0  # rows given of the range's start
         for batch in batches:
             key, node = (np.concatenate([t, batch.column(i).to_numpy()]) for i, t in enumerate(tail))
             keep = np.ones(len(key), bool)
             keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # copies
             key, node = key[keep], node[keep]
             old = min(len(tail[0]), len(key))
-            if not started and len(key):
-                started = True
-                yield edge(1, key[:reach], node[:reach])
+            if head < most and len(key) > old:
+                first = slice(old, old + most - head)
+                head += len(key[first])
+                yield edge(1, key[first], node[first])
             for d in range(1, reach + 1):
                 same = key[d:] == key[:-d]
                 same[: max(0, old - d)] = False  # linked before
                 if same.any():
                     yield edge(0, node[:-d][same], node[d:][same])
-            tail = (key[-reach:], node[-reach:])
-        if started:
+            many = np.zeros(len(key), bool)
+            far = np.flatnonzero(key[most:] == key[:-most])
+            for d in range(most + 1):
+                many[far + d] = True
+            told = np.r_[told[:old], np.zeros(len(key) - old, bool)]
+            new = many & ~told
+            if new.any():
+                yield edge(2, key[new], node[new])
+            tail, told = (key[-most:], node[-most:]), (many | told)[-most:]
+        if head:
             yield edge(1, *tail)
 
     def edge(kind, a, b):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
-    spark = buckets.sparkSession
-    by_range = buckets.repartitionByRange(width(spark), "key", "node").sortWithinPartitions("key", "node")
-    out = written(by_range.mapInArrow(run, "kind int, a long, b long"), "links")
-    # across the edges of ranges: at most 2 x reach rows for each range
-    ends = out.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
-    ends = ends.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
-    across = ends.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct(F.element_at("nodes", i).alias("a"), F.element_at("nodes", i + 1).alias("b")))).alias("e")).select("e.a", "e.b")
-    return out.where("kind = 0").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    by_range = buckets.repartitionByRange(width(buckets.sparkSession), "key", "node").sortWithinPartitions("key", "node")
+    return written(by_range.mapInArrow(run, "kind int, a long, b long"), "links")
+
+
+def _ends(told: DataFrame) -> DataFrame:
+    """(key, nodes) at the edges of ranges: at most 2 x (reach + 1) rows for each range."""
+    ends = told.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
+    return ends.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+
+
+def _chains(told: DataFrame) -> DataFrame:
+    across = _ends(told).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct(F.element_at("nodes", i).alias("a"), F.element_at("nodes", i + 1).alias("b")))).alias("e")).select("e.a", "e.b")
+    return told.where("kind = 0").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def chained(buckets: DataFrame, reach: int) -> DataFrame:
+    """Links (a, b) of each class with the next ``reach`` of its bucket, from rows (key, node), whatever their number."""
+    return _chains(streamed(buckets, reach))
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` and of ``y`` (nibbles, one a byte): in how many nibbles they agree."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for u, v in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+        out += u[:, None] == v[None, :]
+    return out
+
+
+def crowded(told: DataFrame, nibbles: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """Links (a, b) that join what alike pairs join, from all pairs of the buckets that chains don't pair up.
+
+    A bucket of more than ``block`` classes is cut into blocks that are compared two by two.
+    """
+    rows = told.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    # a bucket over an edge has all its rows there, or it is crowded on that side, too
+    rows = rows.unionByName(_ends(told).select("key", F.explode("nodes").alias("node"))).distinct()
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb"))
+    placed = rows.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
+    pairs = placed.join(nibbles, "node").select("key", "node", "blk", "nibbles", other).select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "nibbles")
+
+    def run(batches):
+        for t in whole_groups(batches, ["key", "i", "j"], 1 << 14):
+            key, i, j, blk, node = (t.column(c).to_numpy() for c in range(5))
+            packed = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(key), -1)
+            signs = np.concatenate([packed & 15, packed >> 4], axis=1)
+            new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+            cuts = np.r_[np.flatnonzero(new), len(key)]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                n = z - a
+                near = np.zeros((n, n), bool)
+                if i[a] == j[a]:
+                    near = agreement(signs[a:z], signs[a:z]) >= least * signs.shape[1]
+                    np.fill_diagonal(near, False)
+                else:
+                    left, right = (np.flatnonzero(blk[a:z] == k[a]) for k in (i, j))
+                    cross = agreement(signs[a:z][left], signs[a:z][right]) >= least * signs.shape[1]
+                    near[np.ix_(left, right)] = cross
+                    near[np.ix_(right, left)] = cross.T
+                some = np.flatnonzero(near.any(axis=1))
+                if len(some):
+                    root = some[_roots(near[np.ix_(some, some)])]
+                    out.append((node[a:z][root[root != some]], node[a:z][some[root != some]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+
+    return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def alike(edges: DataFrame, nibbles: DataFrame, least: float) -> DataFrame:
@@ -242,8 +312,9 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: floa
     buckets = sketch.select(F.explode("bands").alias("key"), "node")
     nibbles = sketch.groupBy("node").agg(F.min("nibbles").alias("nibbles"))
     agree = threshold + (1 - threshold) / 16
-    edges = alike(chained(buckets, reach), nibbles, agree - 4.5 * math.sqrt(agree * (1 - agree) / 128))
-    labels = components(edges)
+    least = agree - 4.5 * math.sqrt(agree * (1 - agree) / 128)
+    told = streamed(buckets, reach)
+    labels = components(alike(_chains(told), nibbles, least).unionByName(crowded(told, nibbles, least)))
     members = classes.join(labels, "node").select("node", "first", "copies", "label")
     found = written(compare(members, _classed(docs, doc_id, text).select("doc", "node", "text"), n, threshold, block), "verified")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

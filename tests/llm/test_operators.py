@@ -130,6 +130,35 @@ def test_hot_bucket_is_chained(spark):
     assert links.count() < 3000 * 7 and components(links).select("label").distinct().count() == 1
 
 
+def test_near_pairs_of_a_hot_bucket(spark):
+    """Near pairs are found among many texts that share a passage and a bucket, whatever their places there."""
+    from folioworks.llm.ngram_join import bands_for, crowded, ngram_join, sketches, streamed
+
+    r = np.random.default_rng(5)
+    word = lambda n, at: [f"w{at}x{i}" for i in range(n)]
+    shared = word(60, "shared")
+    rows = []
+    for k in range(300):
+        own = word(100, k)
+        rows.append((k, " ".join(shared + own)))
+        if k % 2 == 0:
+            rows.append((1000 + k, " ".join(shared + own[:72] + word(28, f"{k}y"))))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = {x.doc: set(x.bands) for x in sketches(texts, 3, bands_for(0.5, 0.96, 1), 1, "doc_id", "text").collect()}
+    met = [k for k in range(0, 300, 2) if bands[k] & bands[1000 + k]]
+    got = {x.doc_id: x.group_id for x in ngram_join(texts, rows=1).collect()}
+    assert len(met) > 140 and [k for k in met if got[1000 + k] != k] == []
+    # one bucket over several ranges and blocks
+    signs = r.integers(0, 256, (2000, 64)).astype(np.uint8)
+    pairs = {(int(a), int(b)) for a, b in r.permutation(2000)[:80].reshape(-1, 2)}
+    for a, b in pairs:
+        signs[b] = signs[a]
+    nibbles = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(signs)], "node long, nibbles binary")
+    told = streamed(spark.range(2000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node")), 6)
+    for block in (4096, 300):
+        assert {tuple(sorted(x)) for x in crowded(told, nibbles, 0.33, block).collect()} == {tuple(sorted(x)) for x in pairs}
+
+
 def test_line_dedup(awkward):
     from folioworks.llm.line_dedup import LOWER, UPPER, bitmap, line_dedup, line_dedup_digest, unpack
 
