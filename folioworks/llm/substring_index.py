@@ -60,8 +60,10 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Repeats (doc, th, start, n windows) in a batch of rows from ``keyed``; the batch joins the index.
 
-        ``history``: the rows of all earlier batches, against whose texts stretches are verified.
+        ``history``: the rows of all earlier batches, against whose texts stretches are verified; an index with runs needs them.
         """
+        if self.runs and history is None:
+            raise ValueError("an index with runs needs the rows of its earlier batches")
         new = _repeats.entries(batch, self.window, self.gram, by_word=True)
         old = self.read()
         first = batch.agg({"doc": "min"}).head()[0] if old is not None else None
@@ -100,16 +102,21 @@ def removed_words(text: str, starts: np.ndarray, counts: np.ndarray, window: int
     return words, _repeats.covered(len(words), starts, counts, window) if len(starts) else np.zeros(len(words), bool)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 1, index: FingerprintIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 1, index: FingerprintIndex | None = None, doc_id: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space).
 
     ``batches``: in how many ranges of doc_id the documents join the index, one after another.
+    ``history``: all documents that ``index`` has already, of smaller doc_ids; an index with runs needs them.
     """
     spark = docs.sparkSession
     rows = _repeats.keyed(docs, doc_id, text)
     index = index or FingerprintIndex(spark, window=window, gram=gram)
+    if history is not None and not index.runs:
+        raise ValueError("history without the index that it is in")
+    window = index.window
+    earlier = None if history is None else _repeats.keyed(history, doc_id, text)
     if batches == 1:
-        spans = index.add(rows)
+        spans = index.add(rows, earlier)
     else:
         cuts = rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
         cuts = [None, *sorted({int(c) for c in cuts}), None]
@@ -117,7 +124,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, batches: i
         for low, high in zip(cuts[:-1], cuts[1:]):
             batch = rows if low is None else rows.where(rows["doc"] > low)
             batch = batch if high is None else batch.where(batch["doc"] <= high)
-            found = written(index.add(batch, None if low is None else rows.where(rows["doc"] <= low)), "spans")
+            before = None if low is None else rows.where(rows["doc"] <= low)
+            if earlier is not None:
+                before = earlier if before is None else earlier.unionByName(before)
+            found = written(index.add(batch, before), "spans")
             spans = found if spans is None else spans.unionByName(found)
 
     def one(body: str, starts: np.ndarray, counts: np.ndarray):

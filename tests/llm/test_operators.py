@@ -211,6 +211,25 @@ def test_substring_dedup(docs, batches):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs, batches=batches).collect()} == want
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_substring_dedup_on_an_index(spark, batches):
+    """A second call finds what the first one's documents hold, ragged ends included, and is refused without them."""
+    from folioworks.llm.substring_index import FingerprintIndex, substring_dedup
+
+    r = np.random.default_rng(3)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    passages = [new(n) for n in (21, 24, 30, 60, 200)]
+    rows = [(i, " ".join(new(15) + p + new(17))) for i, p in enumerate(passages * 3)]
+    want = {i: sum(g) for i, (s, g) in repeats(rows, 20, words, tuple).items()}
+    first, second = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:5], rows[5:]))
+    index = FingerprintIndex(spark)
+    substring_dedup(first, index=index).count()
+    with pytest.raises(ValueError):
+        substring_dedup(second, index=index)
+    got = {x.doc_id: x.n_removed for x in substring_dedup(second, batches=batches, index=index, history=first).collect()}
+    assert got == {i: want[i] for i in range(5, 15)}
+
+
 def test_substring_dedup_awkward(awkward):
     from folioworks.llm.substring_index import substring_dedup
 
