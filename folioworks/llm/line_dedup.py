@@ -36,7 +36,7 @@ def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def line_keys(rows: DataFrame, least_chars: int) -> DataFrame:
     lines = rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    key = F.translate(F.expr("trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM line)"), UPPER, LOWER)
+    key = F.translate(F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM line)"), UPPER, LOWER)
     lines = lines.withColumn("key", key).where(F.char_length("key") >= least_chars)
     return lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "th", "pos")
 

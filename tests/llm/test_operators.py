@@ -181,6 +181,17 @@ def test_line_dedup(awkward):
         assert np.flatnonzero(~keep).tolist() == positions
 
 
+def test_line_keys_keep_f_and_lose_form_feeds(spark):
+    """Lines that begin or end with f or F keep it in their key; form feeds go."""
+    from folioworks.llm.line_dedup import line_dedup
+
+    lines = [("For example these are the same", "for example these are the same", "\ffor example these are the same\f"), ("fall is a line of its own here", "all is a line of its own here", "all is a line of its own here")]
+    lines += [("f" + "x" * 18 + "F", "F" + "x" * 18 + "f", "f" + "x" * 18 + "f\f\f")]
+    rows = [(i, "\n".join(x[i] for x in lines)) for i in range(3)]
+    got = {x.doc_id: x.text for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: lines[1][0], 1: lines[1][1], 2: rows[2][1]}
+
+
 def test_line_dedup_of_a_hot_line(spark):
     """A key over several ranges has one keeper."""
     from folioworks.llm.line_dedup import line_dedup_digest
