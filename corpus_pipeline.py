@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", pack),
 ]
 
-#: SQL expresses neither tokenisation nor packing; tests compare with a brute-force version.
+#: SQL expresses neither tokenisation nor packing; tests compare row counts and ids between stages, not kept texts.
 ORACLE_SQL: str | None = None
 
 
