@@ -1,12 +1,29 @@
-"""Quality rules: base counts, then tokeniser fertility within bands per script.
+"""Quality rules: base counts, then tokeniser fertility within bands per script and language.
 
-Public vocabularies measure how a text is cut into tokens: characters a token,
-the share of tokens that fall back to single bytes, and the entropy of the tokens'
-distribution.  A text whose figures leave the band of its script is rejected.
+Public vocabularies measure how a text is cut into tokens: characters a token (of a
+byte-level and of a piece vocabulary), the share of tokens that fall back to single
+bytes, and the entropy of the tokens' distribution.  A text whose figures leave a band
+is rejected.  Two kinds of bands hold at once:
+
+* fixed ones per script (``BANDS``), wide enough for any prose of that script;
+* learnt ones per script, language and octave of the number of tokens: ``spreads``
+  robust standard deviations (quartile distances) about the median of all texts of that
+  group in the table that pass the base rule.  Texts with the same figures (copies)
+  count once, so that a group of copies can't narrow a band.  A group of fewer than
+  ``least_texts`` different texts takes the band of its script and language over all
+  lengths, half as wide again (short texts vary more); where that group is as small, the
+  fixed bands alone hold.
+
+The quartiles are exact on bins of 1 / 200: counts of bins are summed before the
+shuffle, and what is broadcast is one row for each script, two-letter language and
+octave, whatever the number of documents.
 
 Null and empty texts have no words: all counts are 0 and the base rule (at least
-50 words) fails.  Repeated rows are judged one by one.  An empty table gives an
-empty table.  Other columns pass through; one that has a result's name is replaced.
+50 words) fails.  Very long texts are measured whole, one at a time.  Of scripts with
+equally many letters the first in ``SCRIPTS`` is the text's; a null language, or a table
+without that column, is a group of its own.  Repeated rows are judged one by one and
+alike.  An empty table gives an empty table.  Other columns pass through; one that has a
+result's name is replaced.
 """
 
 from __future__ import annotations
@@ -15,10 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _text
-from ._spark import annotate
+from ._spark import annotate, written
 from .tokens import fallback_ids, word_counts, word_tokens
 
 SCRIPTS = ("latin", "greek", "cyrillic", "arabic", "indic", "cjk", "other")
@@ -57,8 +76,11 @@ BANDS = {
     "other": Band((0.2, 9.0), (0.2, 9.0), 1.0, 2.0),
 }
 
-RESULTS = """n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,
-script string, chars_a_token double, piece_chars_a_token double, fallback_share double, token_entropy double, kept boolean"""
+MEASURES = """n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,
+script string, n_tokens long, chars_a_token double, piece_chars_a_token double, fallback_share double, token_entropy double"""
+#: What has learnt bands, and the least standard deviation of each
+BANDED = {"chars_a_token": 0.02, "piece_chars_a_token": 0.02, "token_entropy": 0.05}
+_BINS = 200
 
 
 def repeated_window_words(ids: np.ndarray, offsets: np.ndarray, n_ids: int, k: int = 3) -> np.ndarray:
@@ -151,6 +173,7 @@ def measure(column: pa.Array, byte_vocabulary: str, piece_vocabulary: str) -> di
         "n_symbols": bytes_of @ _SYMBOL,
         "n_dup_lines": duplicate_lines(data, at, starts),
         "n_repeat_words": repeat,
+        "n_tokens": pieces,
         "script": np.where(by_script.sum(axis=0) > 0, by_script.argmax(axis=0), len(SCRIPTS) - 1),
         "chars_a_token": word_chars / np.maximum(byte_tokens, 1),
         "piece_chars_a_token": word_chars / np.maximum(pieces, 1),
@@ -159,35 +182,86 @@ def measure(column: pa.Array, byte_vocabulary: str, piece_vocabulary: str) -> di
     }
 
 
-def quality_rules(
-    df: DataFrame,
-    text: str = "text",
-    byte_vocabulary: str = "byte_bpe_50k.tiktoken",
-    piece_vocabulary: str = "piece_bpe_32k.model",
-    bands: dict[str, Band] = BANDS,
-    least_words: int = 50,
-    most_repeated: int = 50,
-) -> DataFrame:
-    """``df`` with the columns of RESULTS; one Arrow pass, no shuffle.
+def measures(df: DataFrame, text: str = "text", byte_vocabulary: str = "byte_bpe_50k.tiktoken", piece_vocabulary: str = "piece_bpe_32k.model", least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+    """``df`` with the columns of MEASURES; one Arrow pass, no shuffle.
 
     base_failed: fewer than ``least_words`` words, or more than ``most_repeated``
-    percent of them in repeated 3-word windows.  kept: neither base_failed nor
-    outside the band of the text's script (the one of most of its letters).
+    percent of them in repeated 3-word windows.
     """
-    low = {k: np.array([getattr(bands[s], k)[0] for s in SCRIPTS]) for k in ("chars_a_token", "piece_chars_a_token")}
-    high = {k: np.array([getattr(bands[s], k)[1] for s in SCRIPTS]) for k in ("chars_a_token", "piece_chars_a_token")}
-    most_fallback = np.array([bands[s].most_fallback for s in SCRIPTS])
-    least_entropy = np.array([bands[s].least_entropy for s in SCRIPTS])
 
     def compute(block: pa.RecordBatch) -> list:
         m = measure(block.column(block.schema.get_field_index(text)), byte_vocabulary, piece_vocabulary)
         base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
-        s = m["script"]
-        good = (m["fallback_share"] <= most_fallback[s]) & (m["token_entropy"] >= least_entropy[s])
-        for k in low:
-            good &= (m[k] >= low[k][s]) & (m[k] <= high[k][s])
         longs = [m[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         doubles = [m[k].astype(np.float64) for k in ("chars_a_token", "piece_chars_a_token", "fallback_share", "token_entropy")]
-        return [*longs, base, pa.array(SCRIPTS).take(pa.array(s)), *doubles, good & ~base]
+        return [*longs, base, pa.array(SCRIPTS).take(pa.array(m["script"])), m["n_tokens"].astype(np.int64), *doubles]
+
+    return annotate(df, MEASURES, compute, text, most=8 << 20)
+
+
+def language(df: DataFrame, lang: str = "lang") -> Column:
+    """The first two letters, in lower case; what has none is ``--``."""
+    if lang not in df.columns:
+        return F.lit("--")
+    two = F.lower(F.substring(F.col(lang).cast("string"), 1, 2))
+    return F.when(two.rlike("^[a-z]{2}$"), two).otherwise(F.lit("--"))
+
+
+def octave(n: Column) -> Column:
+    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
 
-    return annotate(df, RESULTS, compute, text, most=8 << 20)
+
+def learnt_bands(measured: DataFrame, lang: str = "lang", spreads: float = 4.0, least_texts: int = 100) -> DataFrame:
+    """script, language, octave (-1: all lengths) and, for each of BANDED, the least and the greatest value that stays."""
+    bins = [F.floor(F.col(c) * _BINS).cast("int").alias(c) for c in BANDED]
+    texts = measured.where(~F.col("base_failed")).select(F.col("script"), language(measured, lang).alias("language"), "n_words", "word_chars", "n_tokens", *bins).distinct()
+    values = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("bin")) for c in BANDED])
+    lengths = F.array(octave(F.col("n_tokens")), F.lit(-1))
+    each = texts.select("script", "language", F.explode(lengths).alias("octave"), values.alias("v")).select("script", "language", "octave", F.explode("v").alias("v"))
+    keys = ["script", "language", "octave", "measure"]
+    counts = each.select("script", "language", "octave", "v.measure", "v.bin").groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    # at most a few thousand bins of one group, whatever the number of texts
+    own = Window.partitionBy(*keys)
+    placed = counts.withColumns({"upto": F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(own)})
+    quarter = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin"))).alias(f"q{k}")
+    q = placed.groupBy(*keys).agg(F.max("total").alias("total"), quarter(1), quarter(2), quarter(3)).where(F.col("total") >= least_texts)
+    floor = F.create_map(*[x for c, least in BANDED.items() for x in (F.lit(c), F.lit(least))])
+    spread = F.greatest((F.col("q3") - F.col("q2")) / (_BINS * 0.6745), (F.col("q2") - F.col("q1")) / (_BINS * 0.6745), F.element_at(floor, F.col("measure")))
+    middle = (F.col("q2") + 0.5) / _BINS
+    reach = spread * spreads * F.when(F.col("octave") < 0, 1.5).otherwise(1.0)
+    q = q.select(*keys, (middle - reach).alias("low"), (middle + reach).alias("high"))
+    ends = [F.min(F.when(F.col("measure") == c, F.col(e))).alias(f"{c}_{e}") for c in BANDED for e in ("low", "high")]
+    return q.groupBy("script", "language", "octave").agg(*ends)
+
+
+def within_bands(measured: DataFrame, bands: DataFrame, lang: str = "lang", fixed: dict[str, Band] = BANDS) -> DataFrame:
+    """``measured`` with in_band (false: the method rejects) and kept.  ``bands``: a table of learnt ones."""
+    ends = [f"{c}_{e}" for c in BANDED for e in ("low", "high")]
+    of = lambda df, name: df.select(F.col("script").alias("__script"), F.col("language").alias("__language"), F.struct(*ends).alias(name), *([F.col("octave").alias("__octave")] if name == "__own" else []))
+    # one row for each script (7), language (677 at most) and octave (64 at most)
+    own, whole = of(bands.where("octave >= 0"), "__own"), of(bands.where("octave = -1"), "__whole")
+    names = measured.drop("in_band", "kept").columns
+    keyed = measured.select(*names, F.col("script").alias("__script"), language(measured, lang).alias("__language"), octave(F.col("n_tokens")).alias("__octave"))
+    met = keyed.join(F.broadcast(own), ["__script", "__language", "__octave"], "left").join(F.broadcast(whole), ["__script", "__language"], "left")
+    good = F.lit(True)
+    for c in BANDED:
+        value = F.col(c)
+        low, high = (F.coalesce(F.col(f"__own.{c}_{e}"), F.col(f"__whole.{c}_{e}")) for e in ("low", "high"))
+        good = good & F.coalesce((value >= low) & (value <= high), F.lit(True))
+    limit = lambda f: F.element_at(F.create_map(*[x for k, b in fixed.items() for x in (F.lit(k), F.lit(float(f(b))))]), F.col("script"))
+    good = good & F.col("chars_a_token").between(limit(lambda b: b.chars_a_token[0]), limit(lambda b: b.chars_a_token[1]))
+    good = good & F.col("piece_chars_a_token").between(limit(lambda b: b.piece_chars_a_token[0]), limit(lambda b: b.piece_chars_a_token[1]))
+    good = good & (F.col("fallback_share") <= limit(lambda b: b.most_fallback)) & (F.col("token_entropy") >= limit(lambda b: b.least_entropy))
+    return met.withColumn("in_band", good).select(*names, "in_band", (~F.col("base_failed") & F.col("in_band")).alias("kept"))
+
+
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", spreads: float = 4.0, least_texts: int = 100, fixed: dict[str, Band] = BANDS, keep_text: bool = True, **measuring) -> DataFrame:
+    """``df`` with the columns of MEASURES, in_band, and kept: neither base_failed nor out of a band.
+
+    The measured rows are a written table (without the texts unless ``keep_text``), read
+    for the bands and again for the verdicts; texts are neither shuffled nor cut twice.
+    """
+    rows = measures(df, text, **measuring)
+    rows = written(rows if keep_text else rows.drop(text), "measures")
+    bands = written(learnt_bands(rows, lang, spreads, least_texts), "bands")
+    return within_bands(rows, bands, lang, fixed)

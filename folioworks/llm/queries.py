@@ -67,7 +67,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

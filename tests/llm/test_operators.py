@@ -361,11 +361,83 @@ def test_quality_rules(awkward):
     assert quality_rules(awkward.limit(0)).count() == 0
 
 
-def test_quality_keeps_prose_and_rejects_junk(spark, data):
+def plain_measures(text):
+    """The tokeniser's figures of one text, word by word."""
+    import math
+
+    from folioworks.llm.tokens import encoder, fallback_ids
+
+    w = words(text)
+    byte_n = sum(encoder("byte_bpe_50k.tiktoken")([x])[1][0] for x in w)
+    ids = [int(i) for x in w for i in encoder("piece_bpe_32k.model")([x])[0]]
+    chars = sum(map(len, w))
+    c = collections.Counter(ids)
+    return {
+        "n_tokens": len(ids), "chars_a_token": chars / max(1, byte_n), "piece_chars_a_token": chars / max(1, len(ids)),
+        "fallback_share": sum(bool(fallback_ids("piece_bpe_32k.model")[i]) for i in ids) / max(1, len(ids)), "token_entropy": -sum(n / len(ids) * math.log2(n / len(ids)) for n in c.values()) if ids else 0.0,
+    }
+
+
+def test_fertility_and_bands_by_brute_force(spark):
+    """Every measure, learnt band and verdict against a plain version; copies don't narrow a band."""
+    import math
+
+    from folioworks.llm.quality_rules import BANDED, BANDS, SCRIPTS, learnt_bands, measures, quality_rules
+
+    r = random.Random(8)
+    stems = {"en": "the river stone walks under bright morning light over green hills toward quiet towns".split(), "ru": "река камень утро свет холмы тихий город дорога зима весна".split(), "zh": "河 石 早晨 光 山 安静 城 路 冬 春".split()}
+    rows = []
+    for i in range(150):
+        lang = ("en", "en", "en", "ru", "zh")[i % 5]
+        rows.append((i, " ".join(r.choice(stems[lang]) + (r.choice(("", "s", ",", "ing", "stone", "light", "bury", "ward", "less", "ful")) if lang == "en" else "") for _ in range(r.choice((60, 70, 130, 140)))), lang.upper() if i % 7 == 0 else lang))
+    rows += [(200 + i, rows[0][1], "en") for i in range(60)]  # copies
+    rows += [(300, " ".join(f"{r.choice(stems['en'])}$$$***" for _ in range(90)), "en"), (301, None, None), (302, "", "en"), (303, "é" * 20_000, ""), (304, "αβγ " * 70, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("in_band", F.lit("z"))
+    got = {x.doc_id: x for x in quality_rules(df, least_texts=10, spreads=3.0).collect()}
+    lang = {i: (x or "").lower()[:2] or "--" for i, _, x in rows}
+    groups = collections.defaultdict(set)
+    for i, t, _ in rows:
+        x, m = got[i], plain_measures(t)
+        for k, v in m.items():
+            assert abs(getattr(x, k) - v) < 1e-9, (i, k)
+        if not x.base_failed:
+            figures = (x.n_words, x.word_chars, x.n_tokens, *(math.floor(m[c] * 200) for c in BANDED))
+            for octave in (math.floor(math.log2(max(1, x.n_tokens))), -1):
+                groups[(x.script, lang[i], octave)].add(figures)
+    want = {}
+    for key, texts in groups.items():
+        if len(texts) >= 10:
+            for k, (c, least) in enumerate(BANDED.items()):
+                bins = sorted(x[3 + k] for x in texts)
+                q = [next(b for b in bins if sum(y <= b for y in bins) * 4 >= len(bins) * j) for j in (1, 2, 3)]
+                s = max((q[2] - q[1]) / 134.9, (q[1] - q[0]) / 134.9, least)
+                s *= 4.5 if key[2] < 0 else 3
+                want[(*key, c)] = ((q[1] + 0.5) / 200 - s, (q[1] + 0.5) / 200 + s)
+    bands = learnt_bands(measures(df), least_texts=10, spreads=3.0).collect()
+    assert {(b.script, b.language, b.octave, c) for b in bands for c in BANDED} == set(want) and len({b.script for b in bands}) > 2
+    for b in bands:
+        for c in BANDED:
+            low, high = want[(b.script, b.language, b.octave, c)]
+            assert abs(b[f"{c}_low"] - low) < 1e-9 and abs(b[f"{c}_high"] - high) < 1e-9
+    for i, x in got.items():
+        f = BANDS[x.script]
+        good = f.chars_a_token[0] <= x.chars_a_token <= f.chars_a_token[1] and f.piece_chars_a_token[0] <= x.piece_chars_a_token <= f.piece_chars_a_token[1] and x.fallback_share <= f.most_fallback and x.token_entropy >= f.least_entropy
+        for c in BANDED:
+            low, high = want.get((x.script, lang[i], math.floor(math.log2(max(1, x.n_tokens))), c)) or want.get((x.script, lang[i], -1, c)) or (-1e9, 1e9)
+            good &= low <= x[c] <= high
+        assert x.script in SCRIPTS and x.in_band == good and x.kept == (good and not x.base_failed), i
+    assert not got[300].base_failed and not got[300].kept and got[0].kept and got[200].kept
+    assert quality_rules(df.limit(0)).count() == 0 and set(quality_rules(df).columns) >= {*df.columns, "kept"}
+
+
+def test_bands_reject_junk_that_the_base_rule_lets_through(spark, data):
+    """Labelled texts, judged by bands learnt without labels: some junk goes, at most one in a hundred good texts does."""
     from folioworks.llm.quality_rules import quality_rules
 
-    d = spark.read.parquet(f"{data[:-5]}0.01/documents.parquet").join(spark.read.parquet(f"{data[:-5]}0.01/labels.parquet"), "doc_id")
-    assert quality_rules(d).where("quality = 1 and not base_failed and not kept").count() == 0
+    d = quality_rules(spark.read.parquet(f"{data[:-5]}0.01/documents.parquet"), keep_text=False)
+    got = d.join(spark.read.parquet(f"{data[:-5]}0.01/labels.parquet"), "doc_id").where("not base_failed").toPandas()
+    bad, good = got[got.quality == 0], got[got.quality == 1]
+    assert (~bad.in_band).mean() > 0.5 and (~good.in_band).mean() <= 0.01
     r = random.Random(4)
     junk = [" ".join(f"ab{chr(r.randrange(0x2600, 0x26FF))}{chr(r.randrange(0x1F600, 0x1F640))}" for _ in range(80)), " ".join(r.choice(("the", "of", "and", "to", "in", "is", "it")) for _ in range(60))]
     got = [(x.base_failed, x.kept, x.fallback_share > 0.2, x.token_entropy < 4.8) for x in quality_rules(spark.createDataFrame(enumerate(junk), "doc_id long, text string")).orderBy("doc_id").collect()]

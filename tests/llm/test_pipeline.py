@@ -1,5 +1,12 @@
 """The pipeline's stages: what each decides takes effect on all that the stage before kept."""
 
+import collections
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from test_operators import jaccard_truth, sha, words  # noqa: F401
+
 from folioworks.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -20,5 +27,103 @@ def test_stages(spark, data):
     assert p.run(spark, data).count() == packed.count()
 
 
+def brute(rows, items):
+    """All stages but the packing, on (doc_id, text) rows, in plain Python."""
+    import re
+
+    from folioworks.llm.line_dedup import LOWER, UPPER
+
+    def good(t):
+        w = words(t)
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {j + k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        return len(w) >= 50 and 2 * len(covered) <= len(w)
+
+    rows = [(i, t) for i, t in rows if good(t)]
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(UPPER, LOWER))
+    held = collections.defaultdict(set)
+    for i, t in rows:
+        for line in t.split("\n"):
+            held[key(line)].add(i)
+    rows = [(i, "\n".join(x for x in t.split("\n") if not (len(key(x)) >= 20 and len(held[key(x)]) >= 3 and max(held[key(x)]) != i))) for i, t in rows]
+    sets = jaccard_truth(rows)
+    order = sorted(rows)
+    group = {i: i for i, _ in rows}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, (i, x) in enumerate(order):
+        for j, y in order[a + 1 :]:
+            if x == y or sets[x] | sets[y] and 2 * len(sets[x] & sets[y]) >= len(sets[x] | sets[y]):
+                u, v = sorted((root(i), root(j)))
+                group[v] = u
+    rows = [(i, t) for i, t in order if root(i) == i]
+    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
+    windows = {tuple(w[j : j + min(8, len(w))]) for w in map(split, items) if w for j in range(len(w) - min(8, len(w)) + 1)}
+    clean = lambda w: not any(tuple(w[j : j + m]) in windows for m in {len(x) for x in windows} for j in range(len(w) - m + 1))
+    return [(i, t) for i, t in rows if clean(split(t))]
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """Documents with copies, shared lines, and benchmark passages, one of them over several lines and in a long text."""
+    r = random.Random(11)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in ("a", "o", "ei") for c in ("n", "r", "sta", "ling", "den")]
+    text = lambda n: "\n".join(" ".join(r.choice(vocabulary) for _ in range(12)) for _ in range(n))
+    items = [text(4) for _ in range(6)]
+    shared = [text(1) for _ in range(3)]
+    rows = [(i, text(r.randrange(5, 14))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " " + r.choice(vocabulary)) for i in range(10)]
+    rows += [(200 + i, text(3) + "\n" + shared[i % 3] + "\n" + text(3)) for i in range(12)]
+    rows += [(300 + i, text(100) + " " + x.replace("\n", " ") + " " + text(100)) for i, x in enumerate(items)]  # a small share of a long text
+    rows += [(400 + i, text(4) + "\n" + x + "\n" + text(4)) for i, x in enumerate(items)]  # over several lines
+    rows += [(500 + i, text(6) + "\n" + items[0] + "\n" + text(6)) for i in range(4)]  # line dedup takes it from all but one
+    rows += [(600, None), (601, ""), (602, "a b c " * 60)]
+    d = tmp_path_factory.mktemp("planted")
+    spark.createDataFrame([(i, t, "en", "s", -1 if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d), rows, items
+
+
+def test_pipeline_by_brute_force(spark, planted):
+    import corpus_pipeline as p
+    from folioworks.llm.packing import pack_documents
+
+    d, rows, items = planted
+    want = brute([(i, t or "") for i, t in rows], items)
+    stay = {i for i, _ in want}
+    assert len(want) < len(rows) - 20 and not stay & {*range(300, 306), *range(401, 406), 503} and stay >= {400, 500, 501, 502}  # 503 holds the lines that the others lose
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, d).toPandas(), docs.schema)
+    assert sorted((x.doc_id, x.text, x.n_chars) for x in docs.collect()) == sorted((i, t, len(t)) for i, t in want)
+    got, again = p.run(spark, d).toPandas(), pack_documents(docs).toPandas()
+    piece = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(got[piece].itertuples(index=False, name=None)) == sorted(again[piece].itertuples(index=False, name=None))
+    assert got.groupby("sequence_id").length.sum().max() <= 2048 and got.sequence_id.nunique() == again.sequence_id.nunique()
+
+
+def test_stages_keep_awkward_tables(spark, planted):
+    """Extra columns with the names of results come back as they were; null ids and texts, repeated rows and empty tables pass."""
+    import corpus_pipeline as p
+
+    d, rows, _ = planted
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(30)
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in ("kept", "n_words", "n_hit", "n_lines", "items", "in_band", "group_id", "script")})
+    more = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(2)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    docs = spark.createDataFrame(docs.unionByName(more).collect(), docs.schema)
+    for table in (docs, docs.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, table, d)
+            assert out.columns == table.columns and out.schema.simpleString() == table.schema.simpleString()
+            for x in out.collect():
+                assert x.doc_id is None or (x.kept, x.n_hit, x.script) == (f"kept of {x.doc_id}", f"n_hit of {x.doc_id}", f"script of {x.doc_id}")
+            table = spark.createDataFrame(out.collect(), out.schema)
+        assert p.STAGES[-1][1](spark, table, d).count() >= table.count()
+
+
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
