@@ -44,6 +44,14 @@ def symbols(data: np.ndarray, at: np.ndarray, by_word: bool) -> tuple[np.ndarray
     return _text.Rolling(_text.BYTE_KEY[data]).of(starts, ends), w_at
 
 
+def second(data: np.ndarray, at: np.ndarray, by_word: bool) -> np.ndarray:
+    """The symbols of a block under other random keys: hashes over them are independent of those over ``symbols``."""
+    if not by_word:
+        return _text.BYTE_KEY_2[data]
+    starts, ends, _ = _text.words(data, at)
+    return _text.Rolling(_text.BYTE_KEY_2[data]).of(starts, ends)
+
+
 def stretches(x: np.ndarray, at: np.ndarray, window: int, gram: int):
     """(rolling hashes, gram hashes, anchor hash, first window, number of windows, text) of each stretch."""
     rolling = _text.Rolling(x)
@@ -76,8 +84,8 @@ def entries(rows: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
             for b in _text.blocks(batch, "text", 2 << 20):
                 data, at = _text.raw(b.column(2))
                 x, s_at = symbols(data, at, by_word)
-                rolling, _, fp, start, n, doc = stretches(x, s_at, window, gram)
-                sh = rolling.of(start, start + n + window - 1)
+                _, _, fp, start, n, doc = stretches(x, s_at, window, gram)
+                sh = _text.Rolling(second(data, at, by_word)).of(start, start + n + window - 1)
                 index = pa.array(doc)
                 columns = [pa.array(fp.view(np.int64)), pa.array(sh.view(np.int64)), b.column(0).take(index), b.column(1).take(index), pa.array(start - s_at[doc], pa.int32()), pa.array(n, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
@@ -85,55 +93,58 @@ def entries(rows: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
     return rows.select("doc", "th", "text").mapInArrow(run, ENTRIES)
 
 
-def flagged(all_entries: DataFrame) -> DataFrame:
-    """The entries, range-sorted, with their kind."""
-    order = ["fp", "sh", "doc", "th", "start", "n"]
-    names = [*NAMES, "kind"]
+ORDER = ["fp", "sh", "doc", "th", "start", "n"]
 
-    def run(batches):
-        before = held = None  # the row before; the last row, whose kind waits for the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fp, sh = b.column(0).to_numpy(), b.column(1).to_numpy()
-            same_row = np.ones(len(fp), bool)
-            own = np.stack([b.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4)])
-            same_fp, same_sh = np.zeros(len(fp), bool), np.zeros(len(fp), bool)
-            same_fp[1:] = fp[1:] == fp[:-1]
-            same_sh[1:] = same_fp[1:] & (sh[1:] == sh[:-1])
-            same_row[0] = False
-            same_row[1:] = same_sh[1:] & (own[:, 1:] == own[:, :-1]).all(axis=0)
-            if before is None:
-                same_fp[0] = True  # the range before may end with it
-            else:
-                same_fp[0] = fp[0] == before[0]
-                same_sh[0] = same_fp[0] and sh[0] == before[1]
-                same_row[0] = same_sh[0] and (own[:, 0] == before[2]).all()
-            # a repeated row of the table is the same place, not an earlier one: it takes the kind of the row that it repeats
-            kind = np.where(same_sh, 1, np.where(same_fp, 2, 0)).astype(np.int32)
-            # the first of its stretch is in doubt if its anchor has another stretch; a group at the batch's edge may have one
-            group = np.cumsum(~same_fp) - (not same_fp[0])
-            n_sh = np.bincount(group, ~same_sh)
-            n_sh[[0, -1]] = 2
-            kind[:-1] = np.where((kind[:-1] == 0) & same_fp[1:] & (n_sh[group[:-1]] > 1), 2, kind[:-1])
-            if same_row.any():
-                lead = np.maximum.accumulate(np.where(same_row, -1, np.arange(len(fp))))
-                kind = np.where(same_row, np.where(lead >= 0, kind[np.maximum(lead, 0)], before[3] if before is not None else 2), kind).astype(np.int32)
-            if held is not None:
-                if held[1] == 0 and same_fp[0]:
-                    held[1] = 2
-                yield with_kind(held[0], np.array([held[1]], np.int32))
-            yield with_kind(b.slice(0, b.num_rows - 1), kind[:-1])
-            held = [b.slice(b.num_rows - 1), int(kind[-1])]
-            before = (fp[-1], sh[-1], own[:, -1], int(kind[-1]))
-        if held is not None:
-            yield with_kind(held[0], np.array([max(held[1], 2) if held[1] != 1 else 1], np.int32))
+
+def kinds(batches, names: list[str] = [*NAMES, "kind"]):
+    """Batches sorted by (fp, sh, place), each with its rows' kind as the last column; columns after the first six pass through."""
 
     def with_kind(b, kind):
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(kind, pa.int32())], names=names)
 
+    before = held = None  # the row before; the last row, whose kind waits for the next batch
+    for b in batches:
+        if not b.num_rows:
+            continue
+        fp, sh = b.column(0).to_numpy(), b.column(1).to_numpy()
+        same_row = np.ones(len(fp), bool)
+        own = np.stack([b.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4)])
+        same_fp, same_sh = np.zeros(len(fp), bool), np.zeros(len(fp), bool)
+        same_fp[1:] = fp[1:] == fp[:-1]
+        same_sh[1:] = same_fp[1:] & (sh[1:] == sh[:-1])
+        same_row[0] = False
+        same_row[1:] = same_sh[1:] & (own[:, 1:] == own[:, :-1]).all(axis=0)
+        if before is None:
+            same_fp[0] = True  # the range before may end with it
+        else:
+            same_fp[0] = fp[0] == before[0]
+            same_sh[0] = same_fp[0] and sh[0] == before[1]
+            same_row[0] = same_sh[0] and (own[:, 0] == before[2]).all()
+        # a repeated row of the table is the same place, not an earlier one: it takes the kind of the row that it repeats
+        kind = np.where(same_sh, 1, np.where(same_fp, 2, 0)).astype(np.int32)
+        # the first of its stretch is in doubt if its anchor has another stretch; a group at the batch's edge may have one
+        group = np.cumsum(~same_fp) - (not same_fp[0])
+        n_sh = np.bincount(group, ~same_sh)
+        n_sh[[0, -1]] = 2
+        kind[:-1] = np.where((kind[:-1] == 0) & same_fp[1:] & (n_sh[group[:-1]] > 1), 2, kind[:-1])
+        if same_row.any():
+            lead = np.maximum.accumulate(np.where(same_row, -1, np.arange(len(fp))))
+            kind = np.where(same_row, np.where(lead >= 0, kind[np.maximum(lead, 0)], before[3] if before is not None else 2), kind).astype(np.int32)
+        if held is not None:
+            if held[1] == 0 and same_fp[0]:
+                held[1] = 2
+            yield with_kind(held[0], np.array([held[1]], np.int32))
+        yield with_kind(b.slice(0, b.num_rows - 1), kind[:-1])
+        held = [b.slice(b.num_rows - 1), int(kind[-1])]
+        before = (fp[-1], sh[-1], own[:, -1], int(kind[-1]))
+    if held is not None:
+        yield with_kind(held[0], np.array([max(held[1], 2) if held[1] != 1 else 1], np.int32))
+
+
+def flagged(all_entries: DataFrame) -> DataFrame:
+    """The entries, range-sorted, with their kind."""
     spark = all_entries.sparkSession
-    return all_entries.repartitionByRange(width(spark), *order).sortWithinPartitions(*order).mapInArrow(run, FLAGGED)
+    return all_entries.repartitionByRange(width(spark), *ORDER).sortWithinPartitions(*ORDER).mapInArrow(kinds, FLAGGED)
 
 
 def to_compare(rows: DataFrame, doubtful: DataFrame) -> DataFrame:

@@ -19,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='folioworks-')}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='folioworks-')}"  # one machine, as in tests
     spark.conf.set("spark.checkpoint.dir", own)
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -38,12 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = filesystem(spark, path)
+    fs.delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that ``written`` made; results that still read them are lost."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _written.pop())
 
 
 def width(spark: SparkSession) -> int:

@@ -27,6 +27,7 @@ _M_INV = pow(_M, -1, 1 << 64)
 _rng = np.random.default_rng(20240607)
 #: A random odd number for each byte
 BYTE_KEY = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_KEY_2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Powers:

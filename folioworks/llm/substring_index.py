@@ -1,83 +1,283 @@
 """Substring dedup with a log-structured fingerprint index.
 
-A batch of documents becomes a sorted immutable run of the index: a table of the
-fingerprints of its word windows, range-partitioned and sorted.  The next batch's
-fingerprints are merged with all runs in one sorted pass, which finds the windows that
-history (or the batch itself) has before; those in doubt are verified window by
-window against the historical texts.  When there are more than ``fanout`` runs, they
-are compacted into one.  Batches come in ascending order of doc_id, so results don't
-depend on how the documents are cut into batches.
+The index is a log of sorted immutable runs below one folder.  A run holds the window
+fingerprints of one batch of documents (a row for each stretch of neighbouring windows
+with one anchor, see ``_repeats``), sorted by (anchor's hash, stretch's hash, place) and
+cut at ranges of the fingerprint that are fixed when the index is made, one file a range.  A
+manifest names the runs; each change writes a new one, so an index can be opened again.
+
+A new batch is the only thing that is shuffled and sorted: to the same ranges, of which
+a hot anchor takes several, as their bounds are of anchor and stretch.  Each range is
+one task, a merge join of the batch's stream with the runs' files of that range, read a
+few thousand rows at a time.  It tells which stretches of the batch history (or the
+batch itself) has before, and which are in doubt, since their anchor occurs elsewhere;
+the windows of those are verified one by one, hashed again from the texts, of which
+historical ones are read only for the documents that the merge names.  When there are
+``fanout`` runs, they are compacted first: the same merge, without a batch, into one run,
+after which the old ones are deleted.  Batches come in ascending order of doc_id (others
+are refused), so results don't depend on how the documents are cut into batches.
 
 A window is ``window`` consecutive words of one document; a word is removed if any
 window over it starts earlier, too (smaller doc_id, or the same document and an earlier
-start), judged on the input.  Fingerprints are two 64-bit hashes of the content (an
-anchor's and its stretch's, or an anchor's and the window's), which must both agree.
-
-Null and empty texts have no words.  Texts shorter than a window lose nothing.  Rows
-that repeat a doc_id and its text are the same document, each with the same result; of
-rows with one doc_id and several texts, the text's hash tells which comes first.  A null
-doc_id counts as the smallest.  An empty table gives an empty table.  Other columns
-aren't looked at.
+start), judged on the input.  Two 64-bit hashes must agree: of the anchor and of its
+stretch, which are taken with different random keys, or of the anchor and of the window.
+
+Null and empty texts have no words.  Texts shorter than a window lose nothing; very long
+ones are hashed in one pass each.  Rows that repeat a doc_id and its text are the same
+document, each with the same result; of rows with one doc_id and several texts, the
+text's hash tells which comes first.  A null doc_id counts as the smallest and joins the
+first batch.  An empty table gives an empty table.  Other columns aren't looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _repeats, _text
-from ._spark import shared_path, written
+from ._spark import delete, filesystem, shared_path, width, written
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 SPANS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RUN = _repeats.ENTRIES + ", bucket int, old boolean, kind int"
+RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
+
+
+def range_of(fp: np.ndarray, sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the sorted bounds (fp, sh) are at most each row's."""
+    low, high = np.searchsorted(bounds[:, 0], fp, "left"), np.searchsorted(bounds[:, 0], fp, "right")
+    out = low.copy()
+    for a in np.unique(low[high > low]).tolist():  # rows whose anchor is that of a bound
+        rows = (low == a) & (high > a)
+        z = int(high[rows][0])
+        out[rows] = a + np.searchsorted(bounds[a:z, 1], sh[rows], "right")
+    return out
+
+
+def run_file(uri: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """A run's rows that count later: the batch's own ones, each stretch at its first place."""
+    import pyarrow.compute as pc
+    from pyarrow import fs, parquet
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_file(path) as f:
+        for b in parquet.ParquetFile(f).iter_batches(most, columns=[*_repeats.NAMES, "old", "kind"]):
+            keep = pc.and_(pc.invert(b.column("old")), pc.not_equal(b.column("kind"), 1))
+            yield b.select(_repeats.NAMES).filter(keep)
+
+
+def chain_files(uris) -> Iterator[pa.RecordBatch]:
+    for uri in uris:
+        yield from run_file(uri)
+
+
+def merged(streams: list[Iterator[pa.RecordBatch]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """One sorted stream (and which stream each row is of) from several that are sorted by (fp, sh); of equal rows, earlier streams' come first."""
+    heads: list[pa.RecordBatch | None] = [None] * len(streams)
+
+    def fill(k: int) -> None:
+        while heads[k] is None or not heads[k].num_rows:
+            heads[k] = next(streams[k], None)
+            if heads[k] is None:
+                return
+
+    while True:
+        for k in range(len(streams)):
+            fill(k)
+        live = [k for k in range(len(streams)) if heads[k] is not None]
+        if not live:
+            return
+        key = lambda k: tuple(int(heads[k].column(c)[-1].as_py()) for c in (0, 1))
+        upto = min(map(key, live))
+        parts, own = [], []
+        for k in live:
+            fp, sh = heads[k].column(0).to_numpy(), heads[k].column(1).to_numpy()
+            i, j = np.searchsorted(fp, upto[0], "left"), np.searchsorted(fp, upto[0], "right")
+            n = int(i + np.searchsorted(sh[i:j], upto[1], "right"))
+            if n:
+                parts.append(heads[k].slice(0, n))
+                own.append(np.full(n, k))
+                heads[k] = heads[k].slice(n)
+        table, of = pa.Table.from_batches(parts).combine_chunks(), np.concatenate(own)
+        if len(parts) > 1:
+            order = np.lexsort((table.column(1).to_numpy(), table.column(0).to_numpy()))
+            table, of = table.take(pa.array(order)).combine_chunks(), of[order]
+        yield table, of
 
 
 class FingerprintIndex:
     """The runs of an index, as tables below one folder."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 20, gram: int = 5, fanout: int = 4, runs: list[str] | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 20, gram: int = 5, fanout: int = 3, ranges: int | None = None) -> None:
         self.spark, self.path = spark, path or shared_path(spark, "index")
-        self.window, self.gram, self.fanout = window, gram, fanout
-        self.runs = list(runs or [])
-        self.made = len(self.runs)
+        self.window, self.gram, self.fanout, self.ranges = window, gram, fanout, ranges or width(spark)
+        self.runs: list[dict] = []  # path, last (its largest doc), files: bucket -> uris in order
+        self.bounds: np.ndarray | None = None
+        self.made = self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index as its newest manifest has it."""
+        fs, at = filesystem(spark, path)
+        names = [str(x.getPath().toString()) for x in fs.listStatus(at) if x.getPath().getName().startswith("manifest-")]
+        m = json.loads(spark.read.text(max(names), wholetext=True).head()[0])
+        out = cls(spark, path, m["window"], m["gram"], m["fanout"], m["ranges"])
+        out.runs, out.made, out.version = m["runs"], m["made"], m["version"]
+        out.bounds = np.array(m["bounds"], np.int64).reshape(-1, 2)
+        return out
 
-    def _write(self, entries: DataFrame, compression: str = "zstd") -> str:
+    def _commit(self) -> None:
+        self.version += 1
+        m = {"window": self.window, "gram": self.gram, "fanout": self.fanout, "ranges": self.ranges, "runs": self.runs, "made": self.made, "version": self.version, "bounds": self.bounds.tolist()}
+        fs, at = filesystem(self.spark, f"{self.path}/manifest-{self.version:08d}.json")
+        out = fs.create(at, True)
+        out.write(bytearray(json.dumps(m).encode()))
+        out.close()
+
+    def _written(self, rows: DataFrame, last: int) -> dict:
+        """Rows of RUN, sorted within ranges, as a new run's table."""
         self.made += 1
         to = f"{self.path}/run-{self.made:06d}"
-        entries.write.option("compression", compression).parquet(to)
-        return to
+        rows.write.option("compression", "zstd").parquet(to)
+        files: dict[str, list[str]] = {}
+        # a row for each file: at most one or a few a range
+        for r in self.spark.read.schema(RUN).parquet(to).select("bucket", F.input_file_name().alias("file")).distinct().collect():
+            files.setdefault(str(r.bucket), []).append(r.file)
+        return {"path": to, "last": last, "files": {k: sorted(v) for k, v in files.items()}}
+
+    def _table(self, run: dict) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(run["path"])
 
-    def read(self) -> DataFrame | None:
-        """All historical entries."""
-        if not self.runs:
-            return None
-        return self.spark.read.parquet(*self.runs).select(*_repeats.NAMES)
+    def _fix_bounds(self, batch: DataFrame, sampled: int = 2000) -> None:
+        """Ranges of equal shares of the fingerprints of some ``sampled`` documents; any bounds give the same results."""
+        n = batch.select("doc").count()
+        some = batch if n <= sampled else batch.sample(min(1.0, 1.2 * sampled / n), 1).limit(2 * sampled)
+        keys = _repeats.entries(some, self.window, self.gram, True).select("fp", "sh").sample(1.0 if n <= sampled else 0.5, 1).limit(400_000).toPandas().drop_duplicates().sort_values(["fp", "sh"]).to_numpy(np.int64)
+        at = [len(keys) * k // self.ranges for k in range(1, self.ranges)] if len(keys) >= self.ranges else []
+        self.bounds = keys[at].reshape(-1, 2)
 
-    def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    def add(self, batch: DataFrame, history: DataFrame | None = None, matched: int = 1_000_000) -> DataFrame:
         """Repeats (doc, th, start, n windows) in a batch of rows from ``keyed``; the batch joins the index.
 
         ``history``: the rows of all earlier batches, against whose texts stretches are verified; an index with runs needs them.
+        Up to ``matched`` names of historical documents are broadcast to choose their texts, more are shuffled.
         """
         if self.runs and history is None:
             raise ValueError("an index with runs needs the rows of its earlier batches")
-        new = _repeats.entries(batch, self.window, self.gram, by_word=True)
-        old = self.read()
-        first = batch.agg({"doc": "min"}).head()[0] if old is not None else None
-        merged = _repeats.flagged(new if old is None else old.unionByName(new))
-        run = self._write(merged)
-        seen = self.spark.read.parquet(run)
-        if old is None:
-            self.runs = [run]
-        else:  # the merged pass is a compacted run already; it replaces those that it has merged once there are too many
-            self.runs = [run] if len(self.runs) + 1 > self.fanout else [*self.runs, self._write(seen.where(seen["doc"] >= first).select(*_repeats.NAMES))]
-        rows = batch if history is None else history.unionByName(batch)
-        windows = self._windows(_repeats.to_compare(rows, seen.where("kind = 2").select("fp", "doc", "th", "start", "n")))
-        found = seen.where("kind = 1").select("doc", "th", "start", "n").distinct().unionByName(_repeats.first_places(windows))
-        return found if first is None else found.where(found["doc"] >= first)
+        low, high = batch.agg(F.min("doc"), F.max("doc")).head()
+        if low is None:
+            return batch.sparkSession.createDataFrame([], "doc long, th int, start int, n int")
+        if self.runs and low <= max(r["last"] for r in self.runs):
+            raise ValueError("batches come in ascending order of doc_id")
+        if self.bounds is None:
+            self._fix_bounds(batch)
+        if len(self.runs) >= self.fanout:
+            self.compact()
+        run = self._written(self._joined(batch), high)
+        self.runs.append(run)
+        self._commit()
+        seen = self._table(run)
+        doubtful = seen.where("kind = 2").select("fp", "doc", "th", "start", "n", "old")
+        windows = self._windows(_repeats.to_compare(batch, doubtful.where("not old").drop("old")))
+        if len(self.runs) > 1:
+            before = doubtful.where("old").drop("old")
+            names = before.select("doc", "th").distinct()
+            few = names.limit(matched + 1).count() <= matched  # 16 MB
+            texts = history.join(F.broadcast(names) if few else names.hint("shuffle_hash"), ["doc", "th"], "left_semi")
+            windows = windows.unionByName(self._windows(_repeats.to_compare(texts, before)))
+        found = seen.where("kind = 1 and not old").select("doc", "th", "start", "n").distinct().unionByName(_repeats.first_places(windows))
+        return found.where(F.col("doc") >= low)
+
+    def _joined(self, batch: DataFrame) -> DataFrame:
+        """The batch's sorted stream merged with all runs: its own rows with their kinds, and those of history that are to be compared with them."""
+        bounds, files = self.bounds, [r["files"] for r in self.runs]
+
+        def ranged(batches):
+            for b in batches:
+                at = range_of(b.column(0).to_numpy(), b.column(1).to_numpy(), bounds)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*_repeats.NAMES, "bucket"])
+
+        def needed(b: pa.RecordBatch) -> pa.RecordBatch:
+            if not b.num_rows:
+                return b
+            fp, old, kind = b.column(0).to_numpy(), b.column(7).to_numpy(zero_copy_only=False), b.column(8).to_numpy()
+            group = np.cumsum(np.r_[False, fp[1:] != fp[:-1]])
+            met = np.bincount(group, ~old) > 0
+            met[[0, -1]] = True  # an anchor at the edge may meet the batch beyond it
+            keep = ~old | (kind == 2) & met[group]
+            return b if keep.all() else b.filter(pa.array(keep))
+
+        def one(bucket: int, own: Iterator[pa.RecordBatch]):
+            chained = [chain_files(f.get(str(bucket), ())) for f in files]
+
+            def rows():
+                for table, of in merged([*chained, own]):
+                    new = of == len(files)
+                    columns = [table.column(c).combine_chunks() for c in range(6)]
+                    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(new), bucket), pa.int32()), pa.array(~new)], names=RUN_NAMES[:-1])
+
+            for b in _repeats.kinds(rows(), RUN_NAMES):
+                b = needed(b)
+                if b.num_rows:
+                    yield b
+
+        def run(batches):
+            ahead: list[tuple[int, pa.RecordBatch]] = []
+            pieces = by_bucket(batches)
+
+            def own(bucket: int):
+                yield ahead.pop()[1]
+                for k, b in pieces:
+                    if k != bucket:
+                        ahead.append((k, b))
+                        return
+                    yield b
+
+            first = next(pieces, None)
+            if first:
+                ahead.append(first)
+            while ahead:
+                yield from one(ahead[0][0], own(ahead[0][0]))
+
+        def by_bucket(batches):
+            for b in batches:
+                bucket = b.column(6).to_numpy()
+                cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else []
+                for a, z in zip(cuts[:-1], cuts[1:]):
+                    own = b.slice(a, z - a).select(_repeats.NAMES)
+                    yield int(bucket[a]), own.filter(pa.array(own.column(5).to_numpy() > 0))
+
+        entries = _repeats.entries(batch, self.window, self.gram, by_word=True).mapInArrow(ranged, _repeats.ENTRIES + ", bucket int")
+        if files:  # a range without rows of the batch may hold a part of an anchor that the batch has beyond its bounds
+            none = [F.lit(0).cast(k).alias(c) for c, k in (("fp", "long"), ("sh", "long"), ("doc", "long"), ("th", "int"), ("start", "int"), ("n", "int"))]
+            entries = entries.unionByName(self.spark.range(self.ranges).select(*none, F.col("id").cast("int").alias("bucket")))
+        return entries.repartitionById(self.ranges, F.col("bucket")).sortWithinPartitions("bucket", *_repeats.ORDER).mapInArrow(run, RUN)
+
+    def compact(self) -> None:
+        """All runs become one, merged range by range; no row is sorted or shuffled again.  The old ones are deleted."""
+        files, old = [r["files"] for r in self.runs], [r["path"] for r in self.runs]
+
+        def run(batches):
+            for b in batches:
+                for bucket in b.column(0).to_pylist():
+                    for table, _ in merged([chain_files(f.get(str(bucket), ())) for f in files]):
+                        n = table.num_rows
+                        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (table.column(i).combine_chunks() for i in range(6))]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, bucket), pa.int32()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n), pa.int32())], names=RUN_NAMES)
+
+        each = self.spark.range(self.ranges, numPartitions=self.ranges)
+        self.runs = [self._written(each.mapInArrow(run, RUN), max(r["last"] for r in self.runs))]
+        self._commit()
+        for path in old:
+            delete(self.spark, path)
 
     def _windows(self, rows: DataFrame) -> DataFrame:
         window = self.window
@@ -102,37 +302,37 @@ def removed_words(text: str, starts: np.ndarray, counts: np.ndarray, window: int
     return words, _repeats.covered(len(words), starts, counts, window) if len(starts) else np.zeros(len(words), bool)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 1, index: FingerprintIndex | None = None, doc_id: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 5, batches: int = 4, index: FingerprintIndex | None = None, doc_id: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space).
 
     ``batches``: in how many ranges of doc_id the documents join the index, one after another.
     ``history``: all documents that ``index`` has already, of smaller doc_ids; an index with runs needs them.
     """
     spark = docs.sparkSession
-    rows = _repeats.keyed(docs, doc_id, text)
     index = index or FingerprintIndex(spark, window=window, gram=gram)
     if history is not None and not index.runs:
         raise ValueError("history without the index that it is in")
     window = index.window
     earlier = None if history is None else _repeats.keyed(history, doc_id, text)
-    if batches == 1:
-        spans = index.add(rows, earlier)
-    else:
-        cuts = rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
-        cuts = [None, *sorted({int(c) for c in cuts}), None]
-        spans = None
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            batch = rows if low is None else rows.where(rows["doc"] > low)
-            batch = batch if high is None else batch.where(batch["doc"] <= high)
-            before = None if low is None else rows.where(rows["doc"] <= low)
-            if earlier is not None:
-                before = earlier if before is None else earlier.unionByName(before)
-            found = written(index.add(batch, before), "spans")
-            spans = found if spans is None else spans.unionByName(found)
+    at = F.col(doc_id).cast("long")
+    cuts = docs.select(at.alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = [None, *sorted({int(c) for c in cuts}), None]
+    spans = None
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        batch = docs
+        if high is not None:
+            batch = batch.where((at <= high) | at.isNull() if low is None else at <= high)
+        if low is not None:
+            batch = batch.where(at > low)
+        before = None if low is None else _repeats.keyed(docs.where(at.isNull() | (at <= low)), doc_id, text)
+        if earlier is not None:
+            before = earlier if before is None else earlier.unionByName(before)
+        found = written(index.add(_repeats.keyed(batch, doc_id, text), before), "spans")
+        spans = found if spans is None else spans.unionByName(found)
 
     def one(body: str, starts: np.ndarray, counts: np.ndarray):
         words, gone = removed_words(body, starts, counts, window)
         kept = [w for w, g in zip(words, gone.tolist()) if not g] if len(starts) else words
         return len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
-    return _repeats.apply_spans(_repeats.with_spans(rows, spans), SPANS, one)
+    return _repeats.apply_spans(_repeats.with_spans(_repeats.keyed(docs, doc_id, text), spans), SPANS, one)

@@ -214,7 +214,7 @@ def repeats(rows, size, split, join):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 3, 6])
 def test_substring_dedup(docs, batches):
     from folioworks.llm.substring_index import substring_dedup
 
@@ -233,12 +233,43 @@ def test_substring_dedup_on_an_index(spark, batches):
     rows = [(i, " ".join(new(15) + p + new(17))) for i, p in enumerate(passages * 3)]
     want = {i: sum(g) for i, (s, g) in repeats(rows, 20, words, tuple).items()}
     first, second = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:5], rows[5:]))
-    index = FingerprintIndex(spark)
-    substring_dedup(first, index=index).count()
+    index = FingerprintIndex(spark, fanout=2)
+    substring_dedup(first, index=index, batches=2).count()
     with pytest.raises(ValueError):
         substring_dedup(second, index=index)
+    with pytest.raises(ValueError):  # not after the documents that it has
+        substring_dedup(first, index=index, history=first)
+    assert len(index.runs) == 2
+    index = FingerprintIndex.open(spark, index.path)
     got = {x.doc_id: x.n_removed for x in substring_dedup(second, batches=batches, index=index, history=first).collect()}
     assert got == {i: want[i] for i in range(5, 15)}
+    assert len(index.runs) == 2 and FingerprintIndex.open(spark, index.path).runs == index.runs  # two were compacted before the next came
+
+
+def test_index_ranges_and_merges():
+    """Bounds that cut a hot anchor, and streams merged in small pieces, against plain sorting."""
+    import pyarrow as pa
+
+    from folioworks.llm._repeats import NAMES
+    from folioworks.llm.substring_index import merged, range_of
+
+    r = np.random.default_rng(2)
+    bounds = np.array(sorted({(int(a), int(b)) for a, b in zip(r.choice([3, 5, 5, 5, 9], 30), r.integers(0, 50, 30))}), np.int64)
+    fp, sh = r.integers(0, 12, 500), r.integers(0, 50, 500)
+    assert range_of(fp, sh, bounds).tolist() == [sum((a, b) <= (int(x), int(y)) for a, b in bounds.tolist()) for x, y in zip(fp, sh)]
+    assert range_of(fp, sh, np.zeros((0, 2), np.int64)).tolist() == [0] * 500
+    for _ in range(40):
+        streams, every = [], []
+        for k in range(int(r.integers(1, 5))):
+            rows = sorted({(int(a), int(b)) for a, b in r.integers(-6, 6, (int(r.integers(0, 60)), 2))})
+            if k == 3:
+                rows = sorted(rows * 3)
+            every += [(*x, k) for x in rows]
+            size = int(r.integers(1, 9))
+            cut = lambda rows=rows, k=k, size=size: (pa.RecordBatch.from_arrays([pa.array([x[c] if c < 2 else k for x in rows[i : i + size]], pa.int64()) for c in range(6)], names=NAMES) for i in range(0, len(rows), size))
+            streams.append(cut())
+        got = [(a, b, int(k)) for t, of in merged(streams) for a, b, k in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), of)]
+        assert got == sorted(every)
 
 
 def test_substring_dedup_awkward(awkward):
