@@ -39,7 +39,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, closing: i
 
     def run(batches):
         for batch in batches:
-            for b in _text.blocks(batch, "text", 8 << 20):
+            for b in _text.blocks(batch, "text", 4 << 20):
                 data, at = _text.raw(_text.text_column(b.column(1)))
                 starts, ends, w_at = _text.words(data, at)
                 ids, each = word_tokens(_text.strings(data, starts, ends).dictionary_encode(), vocabulary)

@@ -196,7 +196,7 @@ def measures(df: DataFrame, text: str = "text", byte_vocabulary: str = "byte_bpe
         doubles = [m[k].astype(np.float64) for k in ("chars_a_token", "piece_chars_a_token", "fallback_share", "token_entropy")]
         return [*longs, base, pa.array(SCRIPTS).take(pa.array(m["script"])), m["n_tokens"].astype(np.int64), *doubles]
 
-    return annotate(df, MEASURES, compute, text, most=8 << 20)
+    return annotate(df, MEASURES, compute, text, most=2 << 20)
 
 
 def language(df: DataFrame, lang: str = "lang") -> Column:

@@ -139,7 +139,7 @@ def fallback_ids(name: str) -> np.ndarray:
 class Known:
     """Tokens of the words met so far, found by the words' hashes; emptied at ``most`` words."""
 
-    def __init__(self, name: str, most: int = 1_500_000) -> None:
+    def __init__(self, name: str, most: int = 800_000) -> None:
         self.encode, self.most = encoder(name), most
         self.clear()
 
