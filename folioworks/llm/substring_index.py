@@ -61,16 +61,17 @@ def range_of(fp: np.ndarray, sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_file(uri: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def run_file(uri: str, most: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """A run's rows that count later: the batch's own ones, each stretch at its first place."""
     import pyarrow.compute as pc
     from pyarrow import fs, parquet
 
     system, path = fs.FileSystem.from_uri(uri)
     with system.open_input_file(path) as f:
-        for b in parquet.ParquetFile(f).iter_batches(most, columns=[*_repeats.NAMES, "old", "kind"]):
+        for b in parquet.ParquetFile(f, pre_buffer=False).iter_batches(most, columns=[*_repeats.NAMES, "old", "kind"], use_threads=False):
             keep = pc.and_(pc.invert(b.column("old")), pc.not_equal(b.column("kind"), 1))
             yield b.select(_repeats.NAMES).filter(keep)
+    pa.default_memory_pool().release_unused()
 
 
 def chain_files(uris) -> Iterator[pa.RecordBatch]:
@@ -284,7 +285,7 @@ class FingerprintIndex:
 
         def run(batches):
             for batch in batches:
-                for b in _text.blocks(batch, "text", 2 << 20):
+                for b in _text.blocks(batch, "text", 1 << 20):
                     data, at = _text.raw(b.column(2))
                     x, w_at = _repeats.symbols(data, at, True)
                     h = _text.Rolling(x).windows(window)
