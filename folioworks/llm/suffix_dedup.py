@@ -4,15 +4,19 @@ Texts are taken as UTF-8 bytes.  Stretches of windows with the same anchor (see
 ``_repeats``) that are equal as a whole are settled by their hashes.  The others, the
 ragged edges of repeats, go to shards by a core of bytes that all their windows hold;
 each shard's strings get a suffix array by induced sorting (SA-IS): suffixes are
-classified, leftmost-smaller (LMS) substrings sorted by one induction, named, their
-order refined recursively, and all suffixes induced from it, a bucket at a time.  From
-the array follow the permuted common prefixes (up to ``window`` bytes), and runs of
-suffixes that share a whole window give its earliest place; all later ones are repeats.
-
-A core shared by more than ``shard_rows`` strings is settled by the windows' hashes,
-with partial sums before the shuffle, instead of in one task; the result is the same.
-
-Null and empty texts are no bytes.  Matches never cross documents.  Repeated rows, one
+classified, leftmost-smaller (LMS) substrings sorted by one induction and named by
+comparison, their order refined recursively, whatever the number of names, and all
+suffixes induced from it.  From the array follow the permuted common prefixes (only
+irreducible ones are compared), and runs of suffixes that share a whole window give its
+earliest place; all later ones are repeats.
+
+The strings of a core with more than ``shard_rows`` of them are cut into shorter ones by
+the longer cores that these hold, and sharded again.  Only a longer core (all but 7 bytes of
+a window) with more than ``shard_rows`` strings is settled by the windows' hashes, range-sorted, instead of in
+one task; the result is the same.
+
+Null and empty texts are no bytes; texts shorter than a window lose nothing; very long
+ones are hashed in one pass each.  Matches never cross documents.  Repeated rows, one
 doc_id with several texts and a null doc_id are as in ``substring_index``.  An empty
 table gives an empty table.  Other columns aren't looked at.
 """
@@ -46,77 +50,127 @@ def _types(s: np.ndarray) -> np.ndarray:
     return smaller
 
 
-def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from LMS suffixes in theirs: larger types upwards, then smaller types downwards."""
-    n = len(s)
-    sa = np.full(n, -1, np.int64)
-    heads, tails = bounds[:-1].copy(), bounds[1:].copy()
-    counts = np.bincount(s[lms], minlength=len(heads))
-    # LMS suffixes at the ends of their buckets, in the given order
-    by_char = lms[np.argsort(s[lms], kind="stable")]
-    sa[np.repeat(tails - counts, counts) + _text.spread(counts)] = by_char
-    lms_from = tails - counts
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i] .. first[i] + count[i] - 1 for each i, after one another."""
+    return np.repeat(first, count) + _text.spread(count)
+
+
+def _until(own: np.ndarray, target: np.ndarray, end: int) -> int:
+    """How many of the entries (in scanning order; buckets ``own``, what they induce goes to ``target``, later than ``own``) can be taken at once: none induces into a bucket that is taken, too."""
+    least = np.minimum.accumulate(target)
+    stop = least[:-1] < own[1:]
+    k = int(stop.argmax()) if len(stop) else 0
+    if not len(stop) or not stop[k]:
+        return max(int(own[-1]), min(end, int(least[-1])))
+    return max(int(own[k]), int(least[k]))
 
-    def place(j: np.ndarray, up: bool) -> None:
+
+def _sweep(s: np.ndarray, sa: np.ndarray, bounds: np.ndarray, free: np.ndarray, stays: np.ndarray, up: bool) -> None:
+    """One induction over ``sa``: from each suffix in order (downwards unless ``up``), the one before it in the text, if ``stays`` has it, goes to the next free place of its bucket.
+
+    Buckets are taken one after another, as in the sequential algorithm, or many at
+    once where nothing that they induce belongs among them: some square root of the
+    number of names steps for long alphabets.
+    """
+    n_buckets, steps = len(bounds) - 1, np.arange(len(s))
+    last = n_buckets - 1
+
+    def place(j: np.ndarray) -> None:
+        if not len(j):
+            return
         c = s[j]
         order = np.argsort(c, kind="stable")
         j, c = j[order], c[order]
-        k = np.bincount(c, minlength=len(heads))
-        used = np.flatnonzero(k)
-        rank = _text.spread(k[used])
+        new = np.ones(len(c), bool)
+        np.not_equal(c[1:], c[:-1], out=new[1:])
+        heads = np.flatnonzero(new)
+        k = np.empty(len(heads), np.int64)
+        k[:-1], k[-1] = heads[1:], len(c)
+        k -= heads
+        used = c[heads]
         if up:
-            sa[np.repeat(heads[used], k[used]) + rank] = j
-            heads[used] += k[used]
+            sa[np.repeat(free[used] - heads, k) + steps[: len(c)]] = j
+            free[used] += k
         else:
-            sa[np.repeat(tails[used], k[used]) - 1 - rank] = j
-            tails[used] -= k[used]
-
-    present = np.flatnonzero(np.diff(bounds))
-    for c in present.tolist():
-        done = bounds[c]
-        while done < heads[c]:  # those of its own bucket come in rounds
-            front = sa[done : heads[c]]
-            done = int(heads[c])
+            sa[np.repeat(free[used] + heads - 1, k) - steps[: len(c)]] = j
+            free[used] -= k
+
+    def before(front: np.ndarray) -> np.ndarray:
+        j = front[front > 0] - 1
+        return j[stays[j]]
+
+    # in what follows, bucket numbers count in scanning order: c upwards, last - c downwards
+    real = (lambda c: c) if up else (lambda c: last - c)
+    c, step = 0, 16
+    while c < n_buckets:
+        end = min(n_buckets, c + step)
+        lo, hi = (bounds[c], bounds[end]) if up else (bounds[n_buckets - end], bounds[n_buckets - c])
+        while end > c + 1 and hi - lo > 1 << 16:
+            end = c + max(1, (end - c) // 4)
+            lo, hi = (bounds[c], bounds[end]) if up else (bounds[n_buckets - end], bounds[n_buckets - c])
+        if end > c + 1:
+            front = sa[lo:hi] if up else sa[lo:hi][::-1]
+            front = front[front > 0]
             j = front - 1
-            j = j[j >= 0]
-            j = j[~smaller[j]]
-            if len(j):
-                place(j, True)
-        j = sa[lms_from[c] : bounds[c + 1]] - 1
-        j = j[j >= 0]
-        j = j[~smaller[j]]
+            ok = stays[j]
+            j, own = j[ok], s[front[ok]]
+            if not len(j):
+                c, step = end, 2 * (end - c)
+                continue
+            own, target = (own, s[j]) if up else (last - own, last - s[j])
+            e = _until(own, target, end)
+            if e > c:
+                place(j[own < e])
+                step = max(16, 2 * (e - c))
+                c = e
+                continue
+        # one bucket, whose own suffixes come in rounds
+        r = real(c)
+        a, z = bounds[r], bounds[r + 1]
+        if up:
+            done = a
+            while done < free[r]:
+                front, done = sa[done : free[r]].copy(), int(free[r])
+                if len(j := before(front)):
+                    place(j)
+            j = before(sa[free[r] : z])
+        else:
+            done = z
+            while done > free[r]:
+                front, done = sa[free[r] : done][::-1].copy(), int(free[r])
+                if len(j := before(front)):
+                    place(j)
+            j = before(sa[a : free[r]][::-1])
         if len(j):
-            place(j, True)
-    # the smaller types again, from the right; LMS suffixes get their right places among them
-    for c in present[::-1].tolist():
-        sa[heads[c] : bounds[c + 1]] = -1
-    tails[:] = bounds[1:]
+            place(j)
+        c += 1
+
+
+def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """All suffixes in order, from LMS suffixes in theirs: larger types upwards, then smaller types downwards."""
+    n = len(s)
+    sa = np.full(n, -1, np.int64)
+    heads, tails = bounds[:-1].copy(), bounds[1:].copy()
+    counts = np.bincount(s[lms], minlength=len(heads))
+    # LMS suffixes at the ends of their buckets, in the given order
+    sa[_spans(tails - counts, counts)] = lms[np.argsort(s[lms], kind="stable")]
+    _sweep(s, sa, bounds, heads, ~smaller, True)
+    # LMS suffixes get their right places among the smaller types
+    sa[_spans(heads, bounds[1:] - heads)] = -1
     sa[bounds[s[n - 1]]] = n - 1  # the sentinel is alone in the first bucket
     tails[s[n - 1]] = bounds[s[n - 1]]
-    for c in present[::-1].tolist():
-        done = bounds[c + 1]
-        while done > tails[c]:
-            front = sa[tails[c] : done][::-1]
-            done = int(tails[c])
-            j = front - 1
-            j = j[j >= 0]
-            j = j[smaller[j]]
-            if len(j):
-                place(j, False)
-        j = sa[bounds[c] : heads[c]][::-1] - 1
-        j = j[j >= 0]
-        j = j[smaller[j]]
-        if len(j):
-            place(j, False)
+    _sweep(s, sa, bounds, tails, smaller, False)
     return sa
 
 
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffixes of ``s`` in order; its last symbol must be its only 0.
+def _equal(s: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether s[a : a + size] and s[b : b + size] are equal, symbol by symbol."""
+    same = s[_spans(a, size)] == s[_spans(b, size)]
+    return np.logical_and.reduceat(same, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
 
-    ``depth``: order by so many symbols at least is enough.  Reduced strings with many
-    names (too many buckets to go through one by one) are ordered by doubling ranks.
-    """
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """The suffixes of ``s`` in order, by induced sorting; its last symbol must be its only 0."""
     n = len(s)
     if n < 3:
         return np.arange(n)[::-1]
@@ -128,56 +182,54 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     is_lms[lms] = True
     in_order = sa[is_lms[sa]]
     # names: equal LMS substrings (up to and with the next LMS symbol) share one
-    ends = np.r_[lms[1:] + 1, n]
-    h = _text.Rolling(_text.mix(s.astype(np.uint64) + np.uint64(0x51ED27))).of(lms, ends)
     number = np.empty(n, np.int64)
     number[lms] = np.arange(len(lms))
-    own = h[number[in_order]]
+    size = (np.r_[lms[1:] + 1, n] - lms)[number[in_order]]
+    alike = np.flatnonzero(size[1:] == size[:-1])
+    new = np.ones(len(lms), bool)
+    new[alike + 1] = ~_equal(s, in_order[alike], in_order[alike + 1], size[alike])
     names = np.empty(len(lms), np.int64)
-    names[number[in_order]] = np.cumsum(np.r_[0, own[1:] != own[:-1]])
-    n_names = int(names.max()) + 1
-    if n_names == len(lms):
-        order = np.argsort(names)
-    elif n_names <= 1024:
-        order = suffix_array(names, depth)
-    else:
-        order = doubled(names, depth)
+    names[number[in_order]] = np.cumsum(new) - 1
+    order = np.argsort(names) if new.all() else suffix_array(names)
     return _induce(s, smaller, lms[order], bounds)
 
 
-def doubled(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """Suffixes of a string of ranks in order, by doubling what the ranks compare."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k *= 2
-        if new[-1] == n - 1 or k >= n or depth and 2 * k > depth:  # an LMS symbol stands for 2 symbols at least
-            return order
-
-
-def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix of ``sa`` (by its place in the text), the symbols that it shares with the one before it, up to ``most``."""
-    plcp = np.zeros(len(data), np.int64)
-    at, before = sa[1:], sa[:-1]
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    for off in range(0, most, 8):
-        a = np.ascontiguousarray(eight[at + off]).view("<u8")[:, 0]
-        b = np.ascontiguousarray(eight[before + off]).view("<u8")[:, 0]
-        x = a ^ b
-        differ = x != 0
-        low = x[differ] & (~x[differ] + np.uint64(1))
-        plcp[at[differ]] = np.minimum(off + np.log2(low.astype(np.float64)).astype(np.int64) // 8, most)
-        at, before = at[~differ], before[~differ]
-        if off + 8 >= most:
-            plcp[at] = most
-    return plcp
+def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each suffix of ``data`` (by its place in the text), the bytes that it shares with the one before it in ``sa``.
+
+    Only irreducible ones (the bytes before the two differ) are compared; each later one is
+    one less than its neighbour to the left, until the next irreducible one.
+    """
+    n = len(data)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    at = np.arange(n)
+    left = np.r_[-1, data[:-1].astype(np.int64)]
+    irreducible = (before < 1) | (at == 0) | (left != np.where(before > 0, left[before], -2))
+    i = np.flatnonzero(irreducible & (before >= 0))
+    common = np.zeros(n, np.int64)
+    common[i] = _shared(data, i, before[i])
+    head = np.maximum.accumulate(np.where(irreducible, at, 0))
+    return common[head] - (at - head)
+
+
+def _shared(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes the stretches from a[i] and from b[i] have in common."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+    out = np.zeros(len(a), np.int64)
+    rest, off, n = np.arange(len(a)), 0, len(data)
+    while len(rest):
+        x, y = a[rest] + off, b[rest] + off
+        far = np.maximum(x, y) >= n
+        x, y = np.minimum(x, n), np.minimum(y, n)
+        z = np.ascontiguousarray(eight[x]).view("<u8")[:, 0] ^ np.ascontiguousarray(eight[y]).view("<u8")[:, 0]
+        differ = (z != 0) | far
+        low = z[differ] & (~z[differ] + np.uint64(1))
+        more = np.where(low > 0, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8, 0)
+        done = rest[differ]
+        out[done] = np.minimum(off + np.where(far[differ], 0, more), n - np.maximum(a[done], b[done]))
+        rest, off = rest[~differ], off + 8
+    return out
 
 
 def later_windows(strings: list[np.ndarray] | np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -188,16 +240,15 @@ def later_windows(strings: list[np.ndarray] | np.ndarray, starts: np.ndarray, co
     data = strings
     s = data.astype(np.int64) + 1
     s[data == 0] = 1
-    s = np.r_[s, 0]
-    sa = suffix_array(s, window)[1:]
-    valid = np.zeros(len(data) + 1, bool)
+    sa = suffix_array(np.r_[s, 0])[1:]
+    new = permuted_common_prefixes(data, sa)[sa] < window
+    new[0] = True
     each = np.repeat(starts, counts) + _text.spread(counts)
+    valid = np.zeros(len(data), bool)
     valid[each] = True
-    sa = sa[valid[sa]]
-    plcp = permuted_common_prefixes(data, sa, window)
-    new = np.r_[True, plcp[sa[1:]] < window]
+    place = np.where(valid[sa], sa, len(data))  # other suffixes are no window's
     heads = np.flatnonzero(new)
-    firsts = np.minimum.reduceat(sa, heads)
+    firsts = np.minimum.reduceat(place, heads)
     later = np.ones(len(data) + 1, bool)
     later[firsts] = False
     return later[each]
@@ -206,7 +257,7 @@ def later_windows(strings: list[np.ndarray] | np.ndarray, starts: np.ndarray, co
 # ------------------------------------------------------------------ tables
 
 
-STRINGS = "core long, doc long, th int, start int, n int, size long, bytes binary"
+STRINGS = "core long, doc long, th int, start int, n int, size long, bytes binary, anchor int"
 
 
 def _strings(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -220,7 +271,7 @@ def _strings(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in _text.blocks(batch, "text", 2 << 20):
+            for b in _text.blocks(batch, "text", 1 << 20):
                 data, at = _text.raw(b.column(2))
                 x = _text.BYTE_KEY[data]
                 rolling = _text.Rolling(x)
@@ -237,13 +288,51 @@ def _strings(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     text = [whole[i : j + window - 1] for i, j in zip(s.tolist(), e.tolist())]
                     index = pa.array(r)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(core.view(np.int64)), b.column(0).take(index), b.column(1).take(index), pa.array(s - at[r], pa.int32()), pa.array(e - s, pa.int32()), pa.array(e - s + window - 1), pa.array(text, pa.binary())],
+                        [pa.array(core.view(np.int64)), b.column(0).take(index), b.column(1).take(index), pa.array(s - at[r], pa.int32()), pa.array(e - s, pa.int32()), pa.array(e - s + window - 1), pa.array(text, pa.binary()), pa.array(k - s, pa.int32())],
                         names=[f.split()[0] for f in STRINGS.split(", ")],
                     )
 
     return rows.mapInArrow(run, STRINGS)
 
 
+def _split(strings: DataFrame, window: int, width: int = 8) -> DataFrame:
+    """The strings cut into ones of at most ``width`` windows, by the longer core that these share.
+
+    Windows are told apart by where they begin, seen from their anchor, which equal
+    windows have at the same place: those of one of ``width`` neighbouring places hold the
+    same window - width + 1 bytes.
+    """
+    names = [f.split()[0] for f in STRINGS.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, at = _binary(b.column(6))
+            n, anchor = (b.column(i).to_numpy().astype(np.int64) for i in (4, 7))
+            first, last = -anchor // width, (n - 1 - anchor) // width
+            row = np.repeat(np.arange(len(n)), last - first + 1)
+            q = first[row] + _text.spread(last - first + 1)
+            begin = np.maximum(q * width + anchor[row], 0)
+            end = np.minimum((q + 1) * width + anchor[row], n[row])
+            zero = at[row] + anchor[row] + q * width
+            # a class that the string has in part may reach beyond it: windows in it still hold these bytes
+            core = _text.Rolling(_text.BYTE_KEY[data]).of(zero + width - 1, zero + window) ^ _text.mix(q.astype(np.uint64))
+            whole = data.tobytes()
+            text = [whole[x:y] for x, y in zip((at[row] + begin).tolist(), (at[row] + end + window - 1).tolist())]
+            index = pa.array(row)
+            own = [pa.array(core.view(np.int64)), b.column(1).take(index), b.column(2).take(index), pa.array(b.column(3).to_numpy()[row] + begin, pa.int32()), pa.array(end - begin, pa.int32()), pa.array(end - begin + window - 1), pa.array(text, pa.binary()), pa.array(anchor[row] - begin, pa.int32())]
+            yield pa.RecordBatch.from_arrays(own, names=names)
+
+    return strings.mapInArrow(run, STRINGS)
+
+
+def _shared_cores(strings: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The cores of two strings or more, and those of more than ``shard_rows``: at most one for each so many strings."""
+    shared = strings.groupBy("core").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return shared.select("core"), written(shared.where(F.col("rows") > shard_rows).select("core"), "hot")
+
+
 def _shards(strings: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """Repeats (doc, th, start, n) among the strings of each core, by suffix arrays of whole cores' strings."""
 
@@ -293,13 +382,16 @@ def repeated_bytes(rows: DataFrame, window: int = 100, gram: int = 24, shard_byt
     seen = written(_repeats.flagged(_repeats.entries(rows, window, gram, by_word=False)).where("kind > 0"), "stretches")
     doubtful = seen.where("kind = 2").select("fp", "doc", "th", "start", "n")
     strings = written(_strings(_repeats.to_compare(rows, doubtful), window, gram).dropDuplicates(["core", "doc", "th", "start"]), "strings")
-    sizes = strings.groupBy("core").agg(F.count(F.lit(1)).alias("rows"))
-    shared = sizes.where("rows > 1")
-    hot = F.broadcast(written(shared.where(F.col("rows") > shard_rows).select("core"), "hot"))  # at most one core for each shard_rows rows
-    wanted = strings.join(shared.select("core"), "core", "left_semi")
     found = seen.where("kind = 1").select("doc", "th", "start", "n").distinct()
-    found = found.unionByName(_shards(wanted.join(hot, "core", "left_anti"), window, shard_bytes))
-    return found.unionByName(_repeats.first_places(_windows(strings.join(hot, "core", "left_semi"), window)))
+    for last in (False, True):
+        shared, hot = _shared_cores(strings, shard_rows)
+        found = found.unionByName(_shards(strings.join(shared, "core", "left_semi").join(hot.hint("shuffle_hash"), "core", "left_anti"), window, shard_bytes))
+        if not hot.head(1):
+            return found
+        crowd = strings.join(hot.hint("shuffle_hash"), "core", "left_semi")
+        if last:
+            return found.unionByName(_repeats.first_places(_windows(crowd, window)))
+        strings = written(_split(crowd, window), "strings")
 
 
 def suffix_dedup(docs: DataFrame, window: int = 100, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -130,6 +130,43 @@ def test_hot_bucket_is_chained(spark):
     assert links.count() < 3000 * 7 and components(links).select("label").distinct().count() == 1
 
 
+def test_components_with_hot_centres(spark):
+    """Stars whose centres are salted, and chains, against union-find."""
+    from folioworks.llm._components import components
+
+    r = random.Random(6)
+    pairs = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 399)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(150)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        u, v = sorted((find(a), find(b)))
+        root[v] = u
+    want = {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+    for hot in (1 << 20, 50):
+        got = {x.node: x.label for x in components(spark.createDataFrame(pairs, "a long, b long"), hot).collect()}
+        assert got == want
+
+
+def test_bucket_of_ten_thousand_classes(spark):
+    """Near pairs among 10,000 different texts that one bucket holds, wherever they lie in it."""
+    from folioworks.llm.ngram_join import crowded, streamed
+
+    r = np.random.default_rng(9)
+    signs = r.integers(0, 256, (10_000, 64)).astype(np.uint8)
+    pairs = {tuple(sorted((int(a), int(b)))) for a, b in r.permutation(10_000)[:400].reshape(-1, 2)}
+    for a, b in pairs:
+        signs[b] = np.where(r.random(64) < 0.7, signs[a], signs[b])  # some 0.7 of the signature agrees
+    nibbles = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(signs)], "node long, nibbles binary")
+    told = streamed(spark.range(10_000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node")), 6)
+    got = {tuple(sorted(x)) for x in crowded(told, nibbles, 0.33).collect()}
+    assert len(pairs & got) >= 0.95 * len(pairs) and len(got - pairs) < 5
+
+
 def test_near_pairs_of_a_hot_bucket(spark):
     """Near pairs are found among many texts that share a passage and a bucket, whatever their places there."""
     from folioworks.llm.ngram_join import bands_for, crowded, ngram_join, sketches, streamed
@@ -281,7 +318,7 @@ def test_substring_dedup_awkward(awkward):
     assert got[None] == {0} and got[3] == {repeats([(0, LONG)], 20, words, tuple)[0][1].count(True)} and got[4] == {6000} and len(got[11]) == 2
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 2])
+@pytest.mark.parametrize("shard_rows", [10_000, 5, 2])
 def test_suffix_dedup(docs, shard_rows):
     from folioworks.llm.suffix_dedup import suffix_dedup
 
@@ -293,12 +330,19 @@ def test_suffix_dedup(docs, shard_rows):
 
 
 def test_suffix_array():
-    from folioworks.llm.suffix_dedup import later_windows, suffix_array
+    from folioworks.llm.suffix_dedup import later_windows, permuted_common_prefixes, suffix_array
 
     r = np.random.default_rng(0)
     for t in range(400):
         s = np.r_[np.tile(r.integers(1, 3, r.integers(1, 4)), 20) if t % 3 == 0 else r.integers(1, r.integers(2, 6), r.integers(1, 60)), 0]
-        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        if t % 5 == 0:
+            s = np.unique(np.r_[r.integers(1, 90, r.integers(1, 200)), 0], return_inverse=True)[1]
+        sa = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        assert suffix_array(s).tolist() == sa
+        data = s[:-1].astype(np.uint8)
+        got = permuted_common_prefixes(data, np.array(sa[1:], np.int64)) if len(data) else []
+        for a, b in zip(sa[1:], sa[2:]):
+            assert got[b] == next((n for n in range(len(data)) if max(a, b) + n >= len(data) or data[a + n] != data[b + n]), len(data))
     for _ in range(100):
         strings = [bytes(r.integers(97, 99, r.integers(6, 20)).astype(np.uint8)) for _ in range(r.integers(1, 8))]
         starts = np.cumsum([0] + [len(x) + 1 for x in strings])[:-1]
@@ -311,6 +355,21 @@ def test_suffix_array():
         assert got.tolist() == want
 
 
+def test_suffix_array_of_many_names():
+    """Reduced strings of far more than a thousand names are sorted by the same recursion."""
+    from folioworks.llm.suffix_dedup import suffix_array
+
+    r = np.random.default_rng(1)
+    for s in (r.integers(1, 60, 60_000), r.permutation(np.arange(1, 20_000)), np.tile(r.integers(1, 9000, 9000), 3)):
+        s = np.unique(np.r_[s, 0], return_inverse=True)[1].astype(np.int64)
+        sa = suffix_array(s)
+        assert sorted(sa.tolist()) == list(range(len(s)))
+        rank = np.empty(len(s) + 1, np.int64)
+        rank[sa], rank[-1] = np.arange(len(s)), -1
+        a, b = sa[:-1], sa[1:]  # each suffix is less than the next: by its first symbol, else by the rest's rank
+        assert ((s[a] < s[b]) | (s[a] == s[b]) & (rank[a + 1] < rank[b + 1])).all()
+
+
 def test_chat(spark):
     from folioworks.llm import chat_format as C
 
