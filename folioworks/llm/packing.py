@@ -1,10 +1,10 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit.  Pieces and gaps are sorted by size into ranges (the
-powers of eight); equal sizes form runs (size, how many, number of the first), so that
-the state of a round has a bounded number of rows however many documents there are.
-In each superstep every range is one task: a sweep from the largest run of pieces
-down finds each its successor, the smallest gap that holds it, by bisection; where
+Bulk-synchronous best fit.  Equal sizes form runs (size, how many, number of the first),
+so that the state of a round has a bounded number of rows however many documents there
+are.  Runs of pieces and of gaps are range-partitioned by size (ranges of about as many
+pieces each) and sorted.  In each superstep every range is one task: a sweep from the
+largest run of pieces down finds each its successor, the smallest gap that holds it, by bisection; where
 several pieces want the same gaps, their rank within the run decides; the gaps
 shrink and go to the range of their new size, and pieces that found none go on to
 the next range.  Beyond the largest range they open new sequences.  The
@@ -118,33 +118,57 @@ def best_fit(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]
 STATE = "kind int, size long, first long, many long, at int, step int, a_gap long, gap long, sequence long"
 
 
-def supersteps(lengths: DataFrame, capacity: int) -> DataFrame:
-    """From runs (size, many) the placings (size, first, many, sequence, a_gap, gap); ``first`` is the rank in the size."""
-    top = _range(capacity)
+def _bounds(runs: list[tuple[int, int]], ranges: int) -> list[int]:
+    """Sizes that cut the runs (size, many) into ranges of about as many pieces each."""
+    total, seen, out = sum(m for _, m in runs), 0, []
+    for size, many in sorted(runs):
+        seen += many
+        if len(out) < ranges - 1 and seen * ranges >= total * (len(out) + 1):
+            out.append(size + 1)
+    return out
+
 
-    def sweep(key, frame):
+def supersteps(lengths: DataFrame, capacity: int, ranges: int = 3) -> DataFrame:
+    """From runs (size, many) the placings (size, first, many, sequence, a_gap, gap); ``first`` is the rank in the size."""
+    zero = F.lit(0).cast("long")
+    waiting = written(lengths.select(F.lit(1).alias("kind"), "size", zero.alias("first"), "many"), "runs")
+    # at most ``capacity`` rows, whatever the number of documents
+    bounds = _bounds([(r.size, r.many) for r in waiting.select("size", "many").collect()], ranges)
+    top = len(bounds)
+    of = lambda size: bisect.bisect_right(bounds, int(size))
+    names = [x.split()[0] for x in STATE.split(", ")]
+
+    def sweep(batches):
+        """One range in order of size: its pieces find their successors among its gaps, as long as gaps that shrink stay in the range."""
         import pandas as pd
 
-        at, step = int(key[0]), int(frame["step"].max())
+        parts = [b.to_pandas() for b in batches]
+        frame = pd.concat(parts) if parts else pd.DataFrame(columns=names)
+        if not len(frame):
+            return
+        at, step = int(frame["at"].iloc[0]), int(frame["step"].iloc[0])
         runs = list(zip(frame["kind"], frame["size"], frame["first"], frame["many"]))
         pieces = [(s, f, m) for k, s, f, m in runs if k == 1]
         gaps = [(s, f, m) for k, s, f, m in runs if k == 0]
         placed, gaps, left = best_fit(pieces, gaps, (capacity, step << 40) if at > top else None)
         rows = [(2, s, f, m, 0, 0, k, g, q) for s, f, m, q, k, g in placed]
-        rows += [(0, g, s, m, _range(g), 0, 0, 0, 0) for g, s, m in gaps]
+        rows += [(0, g, s, m, of(g), 0, 0, 0, 0) for g, s, m in gaps]
         rows += [(1, s, f, m, at + 1, 0, 0, 0, 0) for s, f, m in left]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in STATE.split(", ")])
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names).astype({c: "int32" if c in ("kind", "at", "step") else "int64" for c in names}), schema=kinds, preserve_index=False)
 
-    zero = F.lit(0).cast("long")
-    at = F.least(*[F.when(F.col("size") < F.lit(8 ** (k + 1)), F.lit(k)) for k in range(top)], F.lit(top))
-    waiting = lengths.select(F.lit(1).alias("kind"), "size", zero.alias("first"), "many", at.alias("at"), F.lit(0).alias("step"), zero.alias("a_gap"), zero.alias("gap"), zero.alias("sequence"))
-    waiting = written(waiting, "runs")
+    kinds = pa.schema([(c, pa.int32() if c in ("kind", "at", "step") else pa.int64()) for c in names])
+    at = F.lit(0)
+    for b in bounds:
+        at = at + (F.col("size") >= b).cast("int")
+    waiting = waiting.select("kind", "size", "first", "many", at.cast("int").alias("at"), F.lit(0).alias("step"), zero.alias("a_gap"), zero.alias("gap"), zero.alias("sequence"))
     state, done, step = waiting.limit(0), [waiting.limit(0)], 0
-    for entering in sorted((r["at"] for r in waiting.select("at").distinct().collect()), reverse=True):
+    for entering in range(top, -1, -1):
         state, left = state.unionByName(waiting.where(F.col("at") == entering)), True
         while left:
             step += 1
-            out = written(state.withColumn("step", F.lit(step)).groupBy("at").applyInPandas(sweep, STATE), "superstep")
+            now = state.withColumn("step", F.lit(step))
+            # a range is a partition, sorted by size; the last one is for pieces that no gap of any range holds
+            out = written(now.repartitionById(top + 2, F.col("at")).sortWithinPartitions("size", "kind", "first").mapInArrow(sweep, STATE), "superstep")
             done.append(out.where("kind = 2"))
             state = out.where("kind <> 2")
             left = bool(state.where("kind = 1").head(1))
@@ -154,10 +178,6 @@ def supersteps(lengths: DataFrame, capacity: int) -> DataFrame:
     return placings.select("size", "first", "many", "sequence", "a_gap", "gap")
 
 
-def _range(size: int) -> int:
-    return (int(size).bit_length() - 1) // 3
-
-
 def ranked(pieces: DataFrame, order: list[str], salts: int) -> DataFrame:
     """``rank`` from 0 within each length; a hot length is spread over ``salts`` windows."""
     w = Window.partitionBy("length", "__salt")
