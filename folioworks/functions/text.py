@@ -116,3 +116,16 @@ def escape_html(text: Column) -> Column:
 def spaced_prices(text: Column) -> Column:
     """A space between a letter and a price that runs into it."""
     return F.regexp_replace(text, r"([A-Za-z])(\$\d)", "$1 $2")
+
+
+#: Words that tell which way a line reads
+TURNED_WORDS = ("invoice", "total", "date", "description", "amount", "page", "number")
+
+
+def turned_back(text: Column) -> Column:
+    """Text that reads backwards (as vertical text may come out) the right way round: reversed it has a known word that it hasn't as it is."""
+    back = F.reverse(text)
+    turned = F.lit(False)
+    for w in TURNED_WORDS:
+        turned = turned | (F.lower(back).rlike(rf"\b{w}\b") & ~F.lower(text).rlike(rf"\b{w}\b"))
+    return F.when(turned, back).otherwise(text)

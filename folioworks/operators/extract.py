@@ -23,14 +23,15 @@ def element_id(*parts: str) -> Column:
 
 
 def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Titles and headings, then paragraphs, then list items, each in their own order."""
-    out = None
-    for rank, (tag, kind) in enumerate((("h1", "Title"), ("h[2-6]", "Heading"), ("p", "NarrativeText"), ("li", "ListItem"))):
-        found = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-        one = pages.select(F.col(key), F.lit(rank).alias("rank"), F.lit(kind).alias("type"), F.posexplode(found).alias("ordinal", "raw"))
-        out = one if out is None else out.unionByName(one)
+    """Titles and headings, then paragraphs, then list items, each in their own order; one scan for all of them."""
+    def found(rank: int, tag: str, kind: str) -> Column:
+        texts = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+        return F.transform(texts, lambda x, i: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("type"), i.alias("ordinal"), x.alias("raw")))
+
+    lists = [found(rank, *x) for rank, x in enumerate((("h1", "Title"), ("h[2-6]", "Heading"), ("p", "NarrativeText"), ("li", "ListItem")))]
+    each = pages.select(F.col(key), F.explode(F.concat(*lists)).alias("e")).select(key, "e.rank", "e.type", "e.ordinal", "e.raw")
     body = F.trim(F.regexp_replace(F.regexp_replace("raw", r"(?s)<[^>]+>", " "), r"\s+", " "))
-    return out.withColumn("text", body).where("text <> ''").drop("raw")
+    return each.withColumn("text", body).where("text <> ''").drop("raw")
 
 
 def element_confidence(quality: Column, method: Column, completeness: Column, box: Column) -> Column:
@@ -61,14 +62,6 @@ def iou(a: str, b: str) -> Column:
     return F.try_divide(inter, area(a) + area(b) - inter)
 
 
-def table_islands(tables: DataFrame, gap: float = 40.0) -> DataFrame:
-    """Tables of a page with as many columns, each less than ``gap`` below the ones before, are one: ``island`` numbers them."""
-    w = Window.partitionBy("file_path", "page", "columns").orderBy("y0", "ordinal")
-    below = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(below.isNull() | (F.col("y0") - below >= gap), 1).otherwise(0)
-    return tables.withColumn("__new", apart).withColumn("island", F.sum("__new").over(w)).drop("__new")
-
-
 def table_confidence(cells: DataFrame, base: float, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Structural confidence of each table: rows that look right, numbers that parse, empty cells, even columns."""
     t = F.trim(F.coalesce("text", F.lit("")))

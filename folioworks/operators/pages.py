@@ -129,11 +129,20 @@ def layout_rollup(pages: DataFrame, key: str = "file_path") -> DataFrame:
     return out.withColumn("is_mixed_content", F.col("layout_type") == "mixed").drop("t", "i", "a")
 
 
+def vision_complexity(regions: Column) -> Column:
+    """Of one page."""
+    return F.when(regions < 5, "simple").when(regions < 20, "moderate").otherwise("complex")
+
+
 def vision_rollup(pages: DataFrame, key: str = "file_path") -> DataFrame:
+    """A document's regions, area-weighted coverages and complexity; also image coverage and mean regions a page where pages have image_coverage."""
     g = pages.groupBy(key).agg(
         F.sum("text_regions").alias("text_regions"), F.sum("image_regions").alias("image_regions"), F.bool_or(F.col("text_regions") > 0).alias("has_text_regions"), F.bool_or(F.col("image_regions") > 0).alias("has_image_regions"),
         exact_sum(F.col("text_coverage") * F.col("page_area")).alias("t"), exact_sum(F.col("page_area")).alias("a"),
+        *([exact_sum(F.col("image_coverage") * F.col("page_area")).alias("__i"), exact_avg(F.col("text_regions"), 4).alias("mean_text_regions"), exact_avg(F.col("image_regions"), 4).alias("mean_image_regions")] if "image_coverage" in pages.columns else []),
     )
+    if "image_coverage" in pages.columns:
+        g = g.withColumn("image_coverage", r(F.try_divide(F.col("__i").cast("double"), F.col("a").cast("double")), 2)).drop("__i")
     n = F.col("text_regions") + F.col("image_regions")
     t, i = F.col("has_text_regions"), F.col("has_image_regions")
     return g.withColumns(

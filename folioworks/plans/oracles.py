@@ -194,7 +194,7 @@ def build() -> dict[str, str]:
     values = ", ".join(f"({i}, '{e}', '{MIME.get(e, 'application/octet-stream')}')" for i, e in enumerate(exts))
     q["mime_dimension"] = f"SELECT ext, mime, count(*) AS n FROM part JOIN (VALUES {values}) t(i, ext, mime) ON p_partkey % {len(exts)} = i GROUP BY ALL"
     q["magic_bytes"] = "SELECT mime, mime <> 'text/plain' AS is_binary, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/bmp' ELSE 'text/plain' END AS mime FROM part) GROUP BY ALL"
-    t = "concat(substr(text, 1, 900), CASE WHEN doc_id % 5 = 0 THEN concat(chr(8203), chr(8203), chr(1), chr(65533)) ELSE '' END)"
+    t = "substr(concat(CASE WHEN doc_id % 5 = 0 THEN concat(chr(8203), chr(8203), chr(1), chr(65533)) ELSE '' END, text), 1, 1000)"
     q["text_quality"] = rf"""WITH t AS (SELECT doc_id, {t} AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}_]+') AS ws FROM t)
  SELECT doc_id, CASE WHEN length(t) >= 10 THEN {R(r"length(regexp_replace(t, '[^\p{Cc}\p{Cf}\p{Co}]|[\t\n\x0B\f\r\x1C-\x1F\x{85}]', '', 'g')) / length(t)::DOUBLE", 4)} END AS non_printable_ratio,
  CASE WHEN length(t) >= 10 THEN {R(r"length(regexp_replace(t, '[^\x{FFFD}\p{Cf}\p{Co}]', '', 'g')) / length(t)::DOUBLE", 4)} END AS unicode_noise_ratio,
@@ -213,7 +213,6 @@ def build() -> dict[str, str]:
     inter = "greatest(0.0, least(i.x1, t.x1) - greatest(i.x0, t.x0)) * greatest(0.0, least(i.y1, t.y1) - greatest(i.y0, t.y0))"
     q["region_iou_anti"] = f"WITH {BOXES} SELECT file_path, ordinal FROM b i WHERE ordinal % 2 = 0 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.ordinal % 2 = 1 AND t.file_path = i.file_path AND {inter} / ((i.x1 - i.x0) * (i.y1 - i.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) - {inter}) >= 0.2)"
     q["band_self_join"] = f"WITH {BOXES} SELECT a.file_path, min(c.ordinal) AS first_near FROM b a JOIN b c ON a.file_path = c.file_path AND a.ordinal = 1 AND c.ordinal > 1 AND abs(a.y0 - c.y0) < 30 GROUP BY 1"
-    q["table_stitch"] = f"WITH {BOXES}, g AS (SELECT *, max(y1) OVER (PARTITION BY file_path, page, columns ORDER BY y0, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM b), i AS (SELECT *, sum(CASE WHEN below IS NULL OR y0 - below >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path, page, columns ORDER BY y0, ordinal) AS island FROM g) SELECT file_path, page, columns, island, count(*) AS n, min(y0) AS y0, max(y1) AS y1 FROM i GROUP BY ALL"
     q["zone_tag_filter"] = f"WITH {BOXES} SELECT y0 < page_height * 0.1 AS in_header, y1 > page_height * 0.9 AS in_footer, count(*) AS n FROM b GROUP BY ALL"
     q["sections"] = f"WITH {BOXES}, z AS (SELECT file_path, page, ordinal, 'header' AS section FROM b WHERE y0 < page_height * 0.1 UNION ALL SELECT file_path, page, ordinal, 'footer' FROM b WHERE y1 > page_height * 0.9 UNION ALL SELECT file_path, page, ordinal, 'body' FROM b WHERE NOT y0 < page_height * 0.1 AND NOT y1 > page_height * 0.9) SELECT file_path, page, section, string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) AS ids FROM z GROUP BY ALL"
     q["section_prune"] = f"WITH {BOXES} SELECT file_path, count(*) AS n FROM b WHERE NOT y1 > page_height * 0.9 GROUP BY 1"
@@ -247,7 +246,6 @@ def build() -> dict[str, str]:
     q["ext_size_filter"] = "SELECT doc_id, concat(doc_id, '.txt') AS file_path, n_chars FROM documents WHERE n_chars BETWEEN 1000 AND 10000"
     q["cache_key"] = "SELECT doc_id, md5(concat(doc_id, '.txt:', n_chars)) AS cache_key FROM documents"
     q["cache_ttl"] = "WITH l AS (SELECT user_id, max(ts) AS written_at FROM events GROUP BY 1) SELECT user_id, written_at FROM l WHERE written_at > (SELECT max(written_at) FROM l) - INTERVAL 86400 SECONDS"
-    q["ground_truth_match"] = "SELECT d.doc_id, l.quality = 0 AS needs_ocr FROM documents d LEFT JOIN labels l USING (doc_id)"
     q["confusion_matrix"] = f"WITH {LABELLED} {_confusion()}"
     q["confusion_by_type"] = f"WITH {LABELLED} {_confusion('lang')}"
     q["threshold_sweep"] = f"WITH {LABELLED}, x AS (SELECT threshold, actual, score >= threshold AS predicted FROM l, (SELECT unnest([0.4::DOUBLE, 0.5, 0.6, 0.7, 0.8]) AS threshold)) {_confusion('threshold', 'x')}"
@@ -259,7 +257,6 @@ def build() -> dict[str, str]:
     kind = "CASE WHEN mime LIKE 'image/%' THEN 'image' WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime LIKE '%officedocument%' THEN 'office' WHEN mime LIKE 'text/%' THEN 'text' WHEN mime = 'application/json' THEN 'structured' ELSE 'unknown' END"
     q["html_report_rows"] = decided() + f""" SELECT concat('<a>&', file_path) AS file_path, concat('<tr class="', CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END, '"><td>&lt;a&gt;&amp;', file_path, '</td><td>', {kind}, '</td><td>', CASE WHEN needs_ocr THEN 'yes' ELSE 'no' END, '</td><td>', printf('%.2f', confidence), '</td></tr>') AS row_html FROM decided"""
     q["jaccard_duplicates"] = f"WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), i AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), c AS (SELECT doc_id, item_id, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x FROM d) JOIN (SELECT item_id, unnest(w) AS x FROM i) USING (x) GROUP BY ALL) SELECT doc_id, item_id, {R('k / (len(d.w) + len(i.w) - k)::DOUBLE', 4)} AS jaccard FROM c JOIN d USING (doc_id) JOIN i USING (item_id) WHERE {R('k / (len(d.w) + len(i.w) - k)::DOUBLE', 4)} >= 0.2"
-    q["word_set_ops"] = f"WITH x AS (SELECT doc_id, {WORDS.format('substr(text, 1, 300)')} AS a, {WORDS.format('substr(text, 201, 300)')} AS b FROM documents) SELECT doc_id, CAST(len(list_intersect(a, b)) AS INT) AS both, CAST(len(list_distinct(list_concat(a, b))) AS INT) AS either, CAST(len(a) - len(list_intersect(a, b)) AS INT) AS only_first FROM x"
     types = " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in DOCUMENT_TYPES.items())
     q["doc_type_detect"] = f"SELECT CASE {types} END AS doc_type, count(*) AS n FROM (SELECT lower(concat(text, {TOKEN})) AS t FROM documents) GROUP BY 1"
     q["currency_detect"] = f"SELECT CASE WHEN contains(u, 'GST') OR contains(u, 'VIC') OR contains(u, 'AUD') THEN 'AUD' WHEN contains(u, 'USD') OR contains(t, 'US$') THEN 'USD' WHEN contains(u, 'EUR') OR contains(t, '€') THEN 'EUR' WHEN contains(u, 'GBP') OR contains(t, '£') THEN 'GBP' WHEN contains(u, 'INR') OR contains(t, '₹') THEN 'INR' END AS currency, count(*) AS n FROM (SELECT trim({TOKEN}) AS t, upper(trim({TOKEN})) AS u FROM documents) GROUP BY 1"
@@ -270,12 +267,9 @@ def build() -> dict[str, str]:
     q["line_item_dedupe"] = f"WITH {ITEMS} SELECT file_path, min(ordinal) AS ordinal FROM li GROUP BY file_path, description"
     good = r"bool_or(regexp_matches(lower(text), 'item|description|price|quantity|total')) AS head"
     q["table_confidence"] = rf"WITH {CELLS}, r AS (SELECT file_path, row, count(*) AS c, count(*) FILTER (trim(text) = '') AS e, count(*) FILTER (regexp_full_match(trim(text), '-?[\d,. ]*\d[\d,. ]*')) AS k, {good} FROM cells GROUP BY ALL), g AS (SELECT file_path, count(*) AS n_rows, sum(c)::BIGINT AS n_cells, sum(e)::BIGINT AS empty, count(*) FILTER (head OR k > 0) AS good, min(c) = max(c) AS even FROM r GROUP BY 1), h AS (SELECT *, empty::DOUBLE / n_cells AS q FROM g) SELECT file_path, n_rows, n_cells, empty, " + R("0.9::DOUBLE * 0.4::DOUBLE + good::DOUBLE / n_rows * 0.2::DOUBLE + 0.2::DOUBLE + (CASE WHEN q <= 0.2 THEN 1.0::DOUBLE WHEN q <= 0.5 THEN 1.0::DOUBLE - (q - 0.2::DOUBLE) * 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, 0.85::DOUBLE - (q - 0.5::DOUBLE)) END) * 0.1::DOUBLE + (CASE WHEN even THEN 1.0 ELSE 0.7 END)::DOUBLE * 0.1::DOUBLE", 2) + " AS confidence FROM h"
-    q["column_consistency"] = f"WITH {CELLS}, c AS (SELECT file_path, row, count(*) AS n FROM cells WHERE text <> '' GROUP BY ALL) SELECT file_path, count(DISTINCT n) > 1 AS uneven FROM c GROUP BY 1"
     q["numeric_parse"] = "SELECT parsed, parsed IS NULL AS failed, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 1234.5::DOUBLE WHEN 2 THEN 77.0::DOUBLE END AS parsed FROM documents) GROUP BY ALL"
     q["duplicate_ids"] = f"WITH {BOXES}, e AS (SELECT file_path, ordinal % 3 AS id, count(*) AS c FROM b GROUP BY ALL), o AS (SELECT DISTINCT file_path, ordinal % 5 AS id FROM b) SELECT file_path, 'DUPLICATE_ID' AS code, 'error' AS severity, count(*) AS n FROM e WHERE c > 1 GROUP BY 1 UNION ALL SELECT file_path, 'DANGLING_ORDER', 'warning', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_path = o.file_path AND e.id = o.id) GROUP BY 1"
-    q["missing_ref_ranges"] = f"WITH {CELLS}, g AS (SELECT file_path, count(*) AS rows, count(*) FILTER (text = '') AS missing FROM cells WHERE col = 3 GROUP BY 1) SELECT file_path, rows, missing FROM g WHERE rows > 2 AND missing > 0"
-    q["header_row_filter"] = f"WITH {ITEMS} SELECT file_path, count(*) AS n FROM li WHERE ordinal <> 1 GROUP BY 1"
-    q["markdown_table"] = f"WITH {CELLS}, r AS (SELECT file_path, row, '| ' || string_agg(text, ' | ' ORDER BY col) || ' |' AS line FROM cells WHERE file_path % 10 = 0 GROUP BY ALL), x AS (SELECT file_path, row, line, row_number() OVER (PARTITION BY file_path ORDER BY row) AS k FROM r) SELECT file_path, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '| --- | --- | --- | --- |' ELSE line END, chr(10) ORDER BY row) AS markdown FROM x GROUP BY 1"
+    q["markdown_table"] = f"WITH {CELLS}, r AS (SELECT file_path, row, '| ' || string_agg(text, ' | ' ORDER BY col) || ' |' AS line FROM cells GROUP BY ALL), x AS (SELECT file_path, row, line, row_number() OVER (PARTITION BY file_path ORDER BY row) AS k FROM r) SELECT file_path, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '| --- | --- | --- | --- |' ELSE line END, chr(10) ORDER BY row) AS markdown FROM x GROUP BY 1"
     q["markdown_page"] = f"WITH {ELEMENTS} SELECT page_id, string_agg(concat(CASE type WHEN 'Title' THEN '# ' WHEN 'Heading' THEN '## ' WHEN 'ListItem' THEN '- ' ELSE '' END, text), chr(10) || chr(10) ORDER BY rank, ordinal) AS markdown FROM elements WHERE text <> '' GROUP BY 1"
     q["page_union_distinct"] = f"WITH {BOXES} SELECT file_path, page FROM b WHERE ordinal <= 3 UNION SELECT file_path, page FROM b WHERE ordinal >= 2 UNION SELECT file_path, page FROM b WHERE columns = 3"
     q["resume_except"] = "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels"

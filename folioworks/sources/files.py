@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 EXTENSIONS = ("pdf", "docx", "pptx", "xlsx", "txt", "csv", "html", "htm", "json", "xml", "png", "jpg", "jpeg", "tiff")
 MIME = {
@@ -125,7 +125,9 @@ def office_pages(content: bytes, ext: str) -> list[tuple[int, str]]:
         names = z.namelist()
         number = lambda n: int("".join(c for c in n.rsplit("/", 1)[-1] if c.isdigit()) or 0)
         if ext == "docx":
-            return [(1, "\n".join(_texts(ElementTree.fromstring(z.read("word/document.xml")), "p", "t")))]
+            from .office import docx_rows
+
+            return [(1, "\n".join(r[4] for r in docx_rows(z) if r[4].strip()))]  # paragraphs, then cells
         if ext == "pptx":
             slides = sorted((n for n in names if n.startswith("ppt/slides/slide") and n.endswith(".xml")), key=number)
             return [(i + 1, "\n".join(_texts(ElementTree.fromstring(z.read(n)), "p", "t"))) for i, n in enumerate(slides)]
@@ -158,13 +160,27 @@ def office_text(files: DataFrame) -> DataFrame:
                     rows.append((path, None, None, type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "page_number", "text", "error"])
 
-    return files.where(F.col("extension").isin("docx", "pptx", "xlsx")).select("path", "extension", "content").mapInPandas(run, "path string, page_number int, text string, error string")
+    mime = F.col("mime") if "mime" in files.columns else F.lit("")
+    kind = F.when(F.col("extension").isin("docx", "pptx", "xlsx"), F.col("extension")).when(mime.contains("wordprocessingml"), "docx").when(mime.contains("presentationml"), "pptx").when(mime.contains("spreadsheetml"), "xlsx")
+    return files.withColumn("extension", kind).where("extension is not null").select("path", "extension", "content").mapInPandas(run, "path string, page_number int, text string, error string")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("text", StringType())])))
+def _csv_cells(texts: pd.Series) -> pd.Series:
+    import csv
+
+    def cells(t):
+        if t is None:
+            return None
+        rows = (r for r in csv.reader(io.StringIO(t, newline="")) if any(c.strip() for c in r))
+        return [(i, j, c.strip()) for i, r in enumerate(rows) for j, c in enumerate(r) if c.strip()]
+
+    return texts.map(cells)
 
 
 def csv_cells(files: DataFrame, text: str = "text", key: str = "path") -> DataFrame:
-    """A row for each cell with text of comma-separated files: row, col, box on a grid of 100 by 20."""
-    lines = files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("row", "line")).where("line <> ''")
-    cells = lines.select(key, "row", F.posexplode(F.split("line", ",")).alias("col", "raw")).withColumn("text", F.trim("raw")).where("text <> ''")
+    """A row for each cell with text of comma-separated files (quoted cells may hold commas and line breaks): row, col, box on a grid of 100 by 20."""
+    cells = files.select(key, F.explode(_csv_cells(text)).alias("c")).select(key, "c.row", "c.col", "c.text")
     return cells.select(key, "row", "col", "text", (F.col("col") * 100.0).alias("x0"), (F.col("row") * 20.0).alias("y0"), (F.col("col") * 100.0 + 100).alias("x1"), (F.col("row") * 20.0 + 20).alias("y1"))
 
 
@@ -183,8 +199,54 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def truth_names(labels: DataFrame) -> DataFrame:
+    """name, needs_ocr from labels (ordinal, file, needs_ocr): by full path (the last of a path) and by base name (the first of a name, unless a path is that name)."""
+    full = labels.groupBy(F.col("file").alias("name")).agg(F.max_by("needs_ocr", "ordinal").alias("needs_ocr"))
+    base = labels.groupBy(F.regexp_extract("file", r"([^/]+)$", 1).alias("name")).agg(F.min_by("needs_ocr", "ordinal").alias("needs_ocr"))
+    return full.unionByName(base.join(full, "name", "left_anti"))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("file", StringType()), StructField("needs_ocr", BooleanType())])))
+def _truth_pairs(texts: pd.Series) -> pd.Series:
+    import json
+
+    def pairs(t):
+        x = json.loads(t)
+        if isinstance(x, dict):
+            return [(k, v.get("needs_ocr") if isinstance(v, dict) else v) for k, v in x.items()]
+        return [(y["file"], y["needs_ocr"]) for y in x]
+
+    return texts.map(pairs)
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Labels by full path and by base name (the first of a name wins) from a JSON list of objects."""
-    df = spark.read.option("multiLine", True).json(path).select("file", "needs_ocr")
-    names = df.select(F.explode(F.array("file", F.regexp_extract("file", r"([^/]+)$", 1))).alias("name"), F.struct("file", "needs_ocr").alias("x"))
-    return names.groupBy("name").agg(F.min("x").alias("x")).select("name", "x.needs_ocr")
+    """Labels by full path and by base name from a JSON list of objects (file, needs_ocr), or an object from file to label."""
+    pairs = spark.read.text(path, wholetext=True).select(F.posexplode(_truth_pairs("value")).alias("ordinal", "x"))
+    return truth_names(pairs.select("ordinal", "x.file", "x.needs_ocr"))
+
+
+def grey_pixels(frames: DataFrame, data: str = "data") -> DataFrame:
+    """Frames (height, width, nChannels, blue first) with ``pixels``: grey bytes by the usual weights."""
+
+    def run(data: pd.Series, channels: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(x, n):
+            if x is None:
+                return None
+            px = np.frombuffer(x, np.uint8)
+            if n == 1:
+                return px.tobytes()
+            px = px.reshape(-1, n)[:, :3].astype(np.float64)
+            return np.clip(np.round(px @ np.array([0.114, 0.587, 0.299])), 0, 255).astype(np.uint8).tobytes()
+
+        return pd.Series([one(x, n) for x, n in zip(data, channels)])
+
+    run.__annotations__ = {"data": pd.Series, "channels": pd.Series, "return": pd.Series}
+    return frames.withColumn("pixels", F.pandas_udf(run, "binary")(data, "nChannels"))
+
+
+def listed(spark: SparkSession, pattern: str, most: int | None = None) -> DataFrame:
+    """Paths and sizes that a glob finds, in order of path, each once; the first ``most`` if asked for."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(pattern).select("path", "length").distinct().orderBy("path")
+    return files if most is None else files.limit(most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -35,19 +36,34 @@ def running_summary(results: DataFrame, kind: str = "file_type") -> DataFrame:
 
 
 def finish(stream: DataFrame, to: Callable[[DataFrame, int], None] | None = None, mode: str = "append", checkpoint: str | None = None, path: str | None = None) -> DataFrame | None:
-    """Runs a stream over all that is there now, into a table below ``path`` or ``to``; returns what was written."""
+    """Runs a stream over all that is there now, into ``to`` or a table at ``path``; returns what was written.
+
+    Appended rows go to the file sink, a complete result replaces the table.  Without a
+    path the table is in the folder of spark.checkpoint.dir (a temporary one of this machine only
+    where there is one machine).
+    """
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
     if to:
+        if checkpoint:
+            writer = writer.option("checkpointLocation", checkpoint)
         writer.foreachBatch(to).start().awaitTermination()
         return None
-    if path:
+    path = path or f"{_shared(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = writer.option("checkpointLocation", checkpoint or f"{path}-progress")
+    if mode == "append":
         writer.format("parquet").option("path", path).start().awaitTermination()
-        return stream.sparkSession.read.parquet(path)
-    name = f"stream_{uuid.uuid4().hex}"
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    else:
+        writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def _shared(spark: SparkSession) -> str:
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='folioworks-')}"
 
 
 def ttl_cache(requests: DataFrame, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from compare import rows
 from folioworks.plans.queries import ORACLE_SQL, QUERIES
 
-PYTHON = {"otsu_binarize", "stream_triage", "stream_watermark", "stream_dedupe"}
+PYTHON = {"structured_markdown"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -19,7 +19,7 @@ def test_query(spark, duck, data, name):
     assert rows(got) == rows(duck.sql(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["decide_default", "planner_pages", "threshold_sweep", "reading_order", "jaccard_duplicates"])
+@pytest.mark.parametrize("name", ["decide_default", "planner_pages", "threshold_sweep", "reading_order", "table_stitch", "line_groups", "latency_stats"])
 def test_plan(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
