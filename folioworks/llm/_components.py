@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import discard, written
 
 #: A node of more edges than this is hot: its edges are joined with its minimum in so many parts
 HOT, SALTS = 1 << 20, 64
@@ -22,7 +22,8 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     now = written(_canonical(edges), "edges")
     mark = _mark(now)
     while True:
-        now = written(_small(_large(now, hot), hot), "edges")
+        before, now = now, written(_small(_large(now, hot), hot), "edges")
+        discard(before)
         new = _mark(now)
         if new == mark:
             break

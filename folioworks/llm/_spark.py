@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[str] = []
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so lost executors cost nothing before it."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made, once nothing that is still to run reads it."""
+    _, path = _paths.pop(id(df), (None, None))
+    if path:
+        delete(df.sparkSession, path)
+        _written.remove(path)
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -53,6 +64,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that ``written`` made; results that still read them are lost."""
+    _paths.clear()
     while _written:
         delete(spark, _written.pop())
 

@@ -9,7 +9,8 @@ document that loses lines, a compressed bitmap of those it keeps.
 
 Null and empty texts are one empty line.  Rows with the same doc_id and text are the
 same document; rows with the same doc_id and other text count as one document for a
-key.  A null doc_id counts as the smallest.  An empty table gives an empty table.
+key.  A line that a document repeats is one document's.  Very long texts are split as a whole, and a
+line of any length is one hash.  A null doc_id counts as the smallest.  An empty table gives an empty table.
 """
 
 from __future__ import annotations

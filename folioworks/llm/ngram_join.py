@@ -14,7 +14,7 @@ more than ``block`` classes are cut into blocks that are compared two by two.  O
 counts and links to a representative leave a comparison, no pairs.
 
 Null and empty texts (and those without words) have no grams and link only with
-their equals.  Repeated rows are copies.  An empty table gives an empty table.  Other
+their equals.  Very long texts are taken whole; the sets of one comparison are held at once.  Repeated rows are copies.  An empty table gives an empty table.  Other
 columns aren't looked at.  A null doc_id counts as the smallest.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from . import _text
 from ._components import components
-from ._spark import whole_groups, width, written
+from ._spark import discard, whole_groups, width, written
 
 SKETCH = "doc long, node long, check long, bands array<long>, nibbles binary"
 
@@ -315,6 +315,7 @@ def ngram_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: floa
     least = agree - 4.5 * math.sqrt(agree * (1 - agree) / 128)
     told = streamed(buckets, reach)
     labels = components(alike(_chains(told), nibbles, least).unionByName(crowded(told, nibbles, least)))
+    discard(told)  # the labels are a table of their own
     members = classes.join(labels, "node").select("node", "first", "copies", "label")
     found = written(compare(members, _classed(docs, doc_id, text).select("doc", "node", "text"), n, threshold, block), "verified")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

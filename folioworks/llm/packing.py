@@ -12,7 +12,8 @@ range of the largest pieces enters first, the next once all of them are placed,
 best-fit decreasing, until no piece is left.  Pieces then learn their places by (length, rank within the length).
 
 Null and empty texts are one token, the closing one.  Repeated rows are packed each.
-Documents longer than a sequence are cut into whole sequences and a rest.  An empty
+Documents longer than a sequence, however long, are cut into whole sequences and a rest.  Pieces of one length
+are interchangeable; their rank (by id, piece and checksum) says which goes where.  An empty
 table gives an empty table.  Other columns of the input are not looked at.
 """
 

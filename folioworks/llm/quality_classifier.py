@@ -7,7 +7,8 @@ ridge solution's scores are made monotone in the labels' mean over bins of the s
 (pool adjacent violators).  All labelled rows outside the held-out fifth are used.
 
 Held out: crc32(doc_id as text) mod 5 is 0 (a null doc_id: the empty text's crc32, 0).
-Null and empty texts have statistics too (zeros) and get a score.  Repeated rows are
+Null and empty texts have statistics too (zeros) and get a score.  Very long texts are measured whole.
+Texts with the same statistics have the same score.  Repeated rows are
 scored, and learnt from, each.  Without any label to learn from, all scores are 0.5.
 An empty table gives an empty table.  Other columns aren't looked at.
 """

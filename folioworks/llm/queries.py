@@ -97,5 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_chat_formatting": oracles.CHAT_FORMATTING,
     "op6_url_filters": oracles.URL_FILTERS,
+    "op8_suffix_array_dedup": oracles.SUFFIX_DEDUP,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
 }

@@ -164,7 +164,7 @@ class FingerprintIndex:
         at = [len(keys) * k // self.ranges for k in range(1, self.ranges)] if len(keys) >= self.ranges else []
         self.bounds = keys[at].reshape(-1, 2)
 
-    def add(self, batch: DataFrame, history: DataFrame | None = None, matched: int = 1_000_000) -> DataFrame:
+    def add(self, batch: DataFrame, history: DataFrame | None = None, matched: int = 250_000) -> DataFrame:
         """Repeats (doc, th, start, n windows) in a batch of rows from ``keyed``; the batch joins the index.
 
         ``history``: the rows of all earlier batches, against whose texts stretches are verified; an index with runs needs them.
@@ -190,7 +190,7 @@ class FingerprintIndex:
         if len(self.runs) > 1:
             before = doubtful.where("old").drop("old")
             names = before.select("doc", "th").distinct()
-            few = names.limit(matched + 1).count() <= matched  # 16 MB
+            few = names.limit(matched + 1).count() <= matched  # some 20 MB
             texts = history.join(F.broadcast(names) if few else names.hint("shuffle_hash"), ["doc", "th"], "left_semi")
             windows = windows.unionByName(self._windows(_repeats.to_compare(texts, before)))
         found = seen.where("kind = 1 and not old").select("doc", "th", "start", "n").distinct().unionByName(_repeats.first_places(windows))

@@ -570,3 +570,100 @@ def test_empty_tables(spark, docs):
         decontaminate.decontaminate(none, none.withColumnRenamed("doc_id", "item_id")),
     ):
         assert out.count() == 0
+
+
+def test_suffix_dedup_against_sql(spark, data, duck):
+    """The whole query against its SQL, which compares windows as strings."""
+    from folioworks.llm.queries import ORACLE_SQL, QUERIES
+
+    got = {r.doc_id: tuple(r) for r in QUERIES["op8_suffix_array_dedup"](spark, data).collect()}
+    assert got == {r[0]: r for r in duck.sql(ORACLE_SQL["op8_suffix_array_dedup"]).fetchall()}
+
+
+def test_classifier_by_plain_numpy(spark):
+    """Scores against features, normal equations, ridge and pooling done in one place."""
+    import math
+
+    import pyarrow as pa
+
+    from folioworks.llm import quality_classifier as Q
+
+    r = random.Random(12)
+    good = lambda: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(40, 120)))
+    junk = lambda: " ".join(r.choice(("buy!!!", "$$$", "NOW", "click|here", "ok", "ok")) for _ in range(r.randrange(10, 90)))
+    rows = [(i, good() if i % 3 else junk(), 7.0) for i in range(240)] + [(None, good(), 7.0), (5, rows0 := good(), 7.0), (5, rows0, 7.0), (900, None, 7.0), (901, "", 7.0)]
+    labels = [(i, int(i % 3 > 0) if i % 17 else 0, 0) for i in range(0, 240, 2)] + [(None, 1, 0), (5, 1, 0), (6, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumn("quality", F.lit(0)).withColumn("x", F.lit("z"))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("label's own"))
+    got = Q.quality_scores(docs, table).toPandas()
+    stats = Q.statistics(pa.array([t for _, t, _ in rows], pa.string()))
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i, *_ in rows]
+    known = collections.defaultdict(list)
+    for i, y, _ in labels:
+        if i is not None and y is not None:
+            known[i].append(y)
+    train = [(k, y) for k, (i, *_) in enumerate(rows) if not held[k] for y in known.get(i, [])]
+    x, y = stats[[k for k, _ in train]], np.array([v for _, v in train], float)
+    n, d, m = len(y), x.shape[1], 192
+    rng = np.random.default_rng(7)
+    w, phase = rng.normal(0, 1 / 4.0, (d, m)), rng.uniform(0, 2 * np.pi, m)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale <= 1e-9] = 1.0
+
+    def features(v):
+        z = np.clip((v - mean) / scale, -8, 8)
+        return np.array([[math.sqrt(2 / m) * math.cos(float(a @ w[:, j]) + phase[j]) for j in range(m)] + list(a / 8) + [1.0] for a in z])
+
+    f = features(x)
+    penalty = np.diag([1e-3 * n / m] * (m + d) + [1e-9])
+    solution = np.linalg.solve(f.T @ f + penalty, f.T @ y)
+    bins = np.clip((f @ solution + 0.5) / 2 * 1024, 0, 1023).astype(int)
+    used = sorted(set(bins))
+    blocks = [[(bins == b).sum(), y[bins == b].mean(), [b]] for b in used]
+    k = 0
+    while k < len(blocks) - 1:  # pool adjacent violators, from the start again after each
+        if blocks[k][1] >= blocks[k + 1][1]:
+            a, b = blocks[k], blocks.pop(k + 1)
+            blocks[k] = [a[0] + b[0], (a[0] * a[1] + b[0] * b[1]) / (a[0] + b[0]), a[2] + b[2]]
+            k = 0
+        else:
+            k += 1
+    value = {b: v for _, v, bs in blocks for b in bs}
+    knots = [-0.5 + (b + 0.5) * 2 / 1024 for b in used]
+    want = np.interp(features(stats) @ solution, knots, [value[b] for b in used])
+    key = lambda i, s: (str(None if i is None or i != i else int(i)), round(float(s), 4))
+    assert sorted(key(i, s) for i, s in zip(got.doc_id, got.score)) == sorted(key(i, s) for (i, *_), s in zip(rows, want))
+    assert sorted(got.held_out) == sorted(held) and ((got.score >= 0.3) == got.predicted).all() and got.columns.tolist() == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_urls_of_an_empty_table(spark):
+    from folioworks.llm.url_filters import url_filters
+
+    out = url_filters(spark.createDataFrame([], "page_id long, url string, host string"))
+    assert out.count() == 0 and out.columns.count("host") == 1
+
+
+def test_texts_longer_than_a_block(spark):
+    """A text of over 2 MB, a copy of it and a short one, through the operators that take texts in blocks."""
+    from folioworks.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules, substring_index, suffix_dedup
+
+    r = np.random.default_rng(4)
+    w = np.array([f"{a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in ("a", "e", "io", "un", "ark")])[r.integers(0, 100, 600_000)]
+    long = "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+    rows = [(1, long), (2, long), (3, " ".join(w[5000:5100]))]
+    assert len(long) > 2 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    q = {x.doc_id: x for x in quality_rules.quality_rules(df).collect()}
+    assert q[1].n_words == 600_000 and q[1].word_chars == sum(map(len, w)) and q[2].n_tokens == q[1].n_tokens
+    d = {x.doc_id: x for x in decontaminate.decontaminate(df, spark.createDataFrame([(1, " ".join(w[-20:]))], "item_id long, text string")).collect()}
+    assert d[1].n_hit == d[2].n_hit == 20 and [tuple(s) for s in d[1].hits] == [(599_980, 600_000)] and d[3].n_hit == 0
+    s = {x.doc_id: x for x in substring_index.substring_dedup(df).collect()}
+    assert (s[1].n_removed, s[2].n_removed, s[3].n_removed) == (0, 600_000, 100)
+    b = {x.doc_id: x for x in suffix_dedup.suffix_dedup(df).collect()}
+    assert (b[1].n_removed, b[2].n_removed) == (0, len(long)) and b[3].n_removed < 100 < len(rows[2][1])  # its words stand on several lines in the others
+    n = {x.doc_id: x for x in ngram_join.ngram_join(df).collect()}
+    assert n[2].class_id == 1 and n[1].n_links == 1 and n[3].n_links == 0
+    k = {x.doc_id: x for x in line_dedup.line_dedup_digest(df, least_docs=2).collect()}
+    assert k[1].n_lines == 50_000 and k[1].n_dropped == 50_000 and k[2].n_dropped == 0
+    p = packing.tokenized_pieces(df, "word_bpe_49k.json", 2048).toPandas().groupby("doc_id")
+    assert p.length.sum()[1] == p.length.sum()[2] == p.start.max()[1] + p.length.apply(lambda x: x.iloc[-1])[1]
