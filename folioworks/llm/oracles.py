@@ -18,13 +18,23 @@ x AS (SELECT doc_id, generate_subscripts(xs, 1) AS p, unnest(xs) AS word FROM w)
 k AS (SELECT x.doc_id, count(*) AS n_words, count(c.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.p = c.p GROUP BY x.doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
 
-#: Texts as hexadecimal digits, two a byte; runs of removed bytes are islands of repeated windows
-SUFFIX_DEDUP = r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), s AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200),
-r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
-g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 100 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)), k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
-x AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM k GROUP BY ALL), p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
-m AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last FROM p GROUP BY 1), q AS (SELECT p.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY 1)
-SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(concat(coalesce(kept, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN q USING (doc_id)"""
+def _suffix_dedup() -> str:
+    """A row a byte; a window's hash is put together from those of 2, 4, .. 64 bytes, and of 64 + 32 + 4."""
+    w = "WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
+    steps = ["b AS (SELECT doc_id, generate_subscripts(bs, 1) AS i, unnest(bs) AS h1 FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents))"]
+    last = "b"
+    for k in (1, 2, 4, 8, 16, 32):
+        steps.append(f"h{2 * k} AS (SELECT *, hash(h{k}, lead(h{k}, {k}) OVER w) AS h{2 * k} FROM {last} {w})")
+        last = f"h{2 * k}"
+    steps.append(f"f AS (SELECT doc_id, i, h1 AS x, hash(h64, lead(h32, 64) OVER w, lead(h4, 96) OVER w) AS k, lead(i, 99) OVER w IS NOT NULL AS whole FROM {last} {w})")
+    steps.append("r AS (SELECT doc_id, i, x, whole AND row_number() OVER (PARTITION BY k, whole ORDER BY doc_id, i) > 1 AS again FROM f)")
+    steps.append(f"c AS (SELECT doc_id, i, x, coalesce(max(CASE WHEN again THEN i END) OVER w > i - 100, false) AS gone FROM r {w})")
+    steps.append(f"g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER w, false) AS first FROM c {w})")
+    steps.append("s AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)"
+
+
+SUFFIX_DEDUP = _suffix_dedup()
 
 
 def _escaped(x: str, line: bool = False) -> str:
