@@ -32,9 +32,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_index import substring_dedup
+    from .substring_index import FingerprintIndex, substring_dedup
 
-    return substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    # three batches: the third comes after the runs of the first two are compacted
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20, batches=3, index=FingerprintIndex(spark, window=20, fanout=2))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
