@@ -137,6 +137,15 @@ def extract(typed: DataFrame, wanted: list[int] | None = None) -> DataFrame:
 
     whole = F.lit(1.0)
     pdf = shape(b.where("coalesce(trim(text), 'x') <> ''"), page=F.col("page_number"), kind=F.when(F.col("kind") == "image", "image").otherwise("element"), type=F.when(F.col("kind") == "text", element_type(F.col("size"), bold, centred, F.col("y0"), F.col("height"))), confidence=element_confidence(F.lit(0.9), F.lit(0.9), whole, whole))
+    cell = read.select(F.col("path").alias("file_path"), "page_number", F.posexplode("cells").alias("ordinal", "c"))
+    # tables that are too empty or cut too small go
+    from .tables import quality_filter
+
+    good = quality_filter(cell.select("file_path", "page_number", "c.table", "c.row", "c.text"), ("file_path", "page_number", "table")).select("file_path", "page_number", "table")
+    found = cell.select("file_path", "page_number", "ordinal", "c.*").join(good, ["file_path", "page_number", "table"], "left_semi")
+    pdf = pdf.unionByName(shape(found, page=F.col("page_number"), kind=F.lit("cell"), confidence=F.lit(0.85)))
+    form = read.select(F.col("path").alias("file_path"), "page_number", F.posexplode("forms").alias("ordinal", "f")).select("file_path", "page_number", "ordinal", F.col("f.name").alias("type"), F.col("f.value").alias("text"))
+    pdf = pdf.unionByName(shape(form, page=F.col("page_number"), kind=F.lit("form"), confidence=F.lit(0.95)))
     broken = shape(read.where("error is not null"), file_path=F.col("path"), page=F.col("page_number"), kind=F.lit("error"))
     office = shape(office_rows(kinds.where("file_kind = 'office'")), file_path=F.col("path"), kind=F.coalesce("kind", F.lit("error")))
     text = kinds.where("file_kind = 'text' and extension <> 'csv'").withColumn("text", text_of_file(F.col("content"), F.col("mime")))

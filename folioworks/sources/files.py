@@ -191,7 +191,8 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Results of an earlier batch from JSON or CSV; booleans and numbers are read leniently."""
-    df = spark.read.json(path) if path.endswith("json") else spark.read.option("header", True).csv(path)
+    one = spark.read.format("binaryFile").load(path).select("path").head()  # a table's first file tells its kind
+    df = spark.read.json(path) if one and one[0].endswith("json") else spark.read.option("header", True).csv(path)
     if "needs_ocr" in df.columns:
         df = df.withColumn("needs_ocr", F.lower(F.col("needs_ocr").cast("string")).isin("true", "1", "yes"))
     if "confidence" in df.columns:

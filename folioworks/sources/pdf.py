@@ -348,8 +348,45 @@ def text_of(runs: list[tuple]) -> str:
     return "\n".join(out)
 
 
-PAGES = "path string, page_number int, page_count int, width double, height double, text string, fonts array<string>, runs array<struct<text:string,x0:double,y0:double,x1:double,y1:double,font:string,size:double>>, images array<struct<x0:double,y0:double,x1:double,y1:double>>, error string"
-_NAMES = [x.split()[0] for x in "path page_number page_count width height text fonts runs images error".split(" ")]
+def tables_of(runs: list[tuple], gap: float = 10.0) -> list[tuple]:
+    """Cells (table, row, col, text, x0, y0, x1, y1) of lines of two parts or more that stand one below the other with as many parts, at the same places or nearly so."""
+    lines: list[list[tuple]] = []
+    for r in sorted((r for r in runs if r[0].strip()), key=lambda r: (r[4], r[1])):
+        if lines and abs(lines[-1][0][4] - r[4]) <= 2.5:
+            lines[-1].append(r)
+        else:
+            lines.append([r])
+    parts = []
+    for line in lines:
+        own: list[list] = []
+        for r in sorted(line, key=lambda r: r[1]):
+            if own and r[1] - own[-1][3] < gap:
+                own[-1] = [own[-1][0].rstrip() + " " + r[0].strip(), own[-1][1], min(own[-1][2], r[2]), r[3], max(own[-1][4], r[4])]
+            else:
+                own.append([r[0].strip(), r[1], r[2], r[3], r[4]])
+        parts.append(own)
+    cells, table, row = [], -1, 0
+    for before, line in zip([[], *parts], parts):
+        near = len(before) == len(line) >= 2 and all(abs(a[1] - b[1]) < 20 for a, b in zip(before, line)) and line[0][2] - before[0][4] < 30
+        if not near:
+            table, row = table + 1, 0
+        cells += [(table, row, c, *x) for c, x in enumerate(line)] if len(line) >= 2 else []
+        row += 1
+    tall = {t for t, r, *_ in cells if r > 0}  # one line is no table
+    number = {t: k for k, t in enumerate(sorted(tall))}
+    return [(number[t], *rest) for t, *rest in cells if t in tall]
+
+
+def forms_of(doc: Document) -> list[tuple]:
+    """Fields (name, type, value) of a document's form."""
+    kinds = {"Tx": "text", "Btn": "button", "Ch": "choice", "Sig": "signature"}
+    said = lambda v: v.decode("utf-16", "replace") if isinstance(v, bytes) and v[:2] in (b"\xfe\xff", b"\xff\xfe") else v.decode("latin-1") if isinstance(v, bytes) else None if v is None else str(v)
+    fields = [(said(doc.get(v.get("T"))), kinds.get(str(doc.get(v.get("FT"))), "unknown"), said(doc.get(v.get("V")))) for v, _ in doc.objects.values() if isinstance(v, dict) and "FT" in v and "T" in v]
+    return sorted(fields, key=lambda f: (f[0] or "", f[1], f[2] or ""))
+
+
+PAGES = "path string, page_number int, page_count int, width double, height double, text string, fonts array<string>, runs array<struct<text:string,x0:double,y0:double,x1:double,y1:double,font:string,size:double>>, images array<struct<x0:double,y0:double,x1:double,y1:double>>, cells array<struct<table:int,row:int,col:int,text:string,x0:double,y0:double,x1:double,y1:double>>, forms array<struct<name:string,type:string,value:string>>, error string"
+_NAMES = [x.split()[0] for x in "path page_number page_count width height text fonts runs images cells forms error".split(" ")]
 
 
 def pages_of(path: str, data: bytes) -> Iterator[tuple]:
@@ -357,20 +394,20 @@ def pages_of(path: str, data: bytes) -> Iterator[tuple]:
         doc = Document(data)
         pages = doc.pages()
     except Exception as e:  # what a broken file raises is the row's result
-        yield (path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
+        yield (path, *[None] * 10, f"{type(e).__name__}: {e}")
         return
     if not pages:
         # the number of pages may be known even so
         found = re.findall(rb"/Type\s*/Page\b", data)
-        yield (path, None, len(found), None, None, None, None, None, None, "no pages")
+        yield (path, None, len(found), *[None] * 8, "no pages")
         return
     for i, (page, resources, box) in enumerate(pages):
         size = (box[2] - box[0], box[3] - box[1])
         try:
             runs, images = page_items(doc, page, resources, box)
-            yield (path, i + 1, len(pages), *size, text_of(runs), sorted({r[5] for r in runs if r[5]}), runs, images, None)
+            yield (path, i + 1, len(pages), *size, text_of(runs), sorted({r[5] for r in runs if r[5]}), runs, images, tables_of(runs), forms_of(doc) if i == 0 else [], None)
         except Exception as e:  # one page's error leaves the others
-            yield (path, i + 1, len(pages), *size, None, None, None, None, f"{type(e).__name__}: {e}")
+            yield (path, i + 1, len(pages), *size, *[None] * 6, f"{type(e).__name__}: {e}")
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:

@@ -278,3 +278,44 @@ def test_loggers_and_errors(monkeypatch):
     assert logs.logger("folioworks.x").level == 10 and issubclass(errors.CacheError, errors.FolioError)
     heard = []
     assert outputs.emit("e", heard.append, n=1) == heard[0] == {"event": "e", "n": 1}
+
+
+def test_pdf_tables_and_forms(spark, tmp_path):
+    rows = [("Item", "Price", "Qty"), ("Peach", "$2.99", "1"), ("Plum", "$1.50", "12")]
+    text = b" ".join(b"BT /F1 10 Tf %d %d Td (%s) Tj ET" % (72 + 150 * c, 700 - 14 * r, v.encode()) for r, row in enumerate(rows) for c, v in enumerate(row))
+    data = pdf_bytes([text]) .replace(b"trailer", b"90 0 obj\n<< /FT /Tx /T (name) /V (Bob) >>\nendobj\n91 0 obj\n<< /FT /Btn /T (agree) /V /Yes >>\nendobj\ntrailer")
+    (tmp_path / "t.pdf").write_bytes(data)
+    e = drivers.extract(typed(spark, tmp_path)).collect()
+    assert [(r.table, r.row, r.col, r.text) for r in e if r.kind == "cell"] == [(0, i, j, v) for i, row in enumerate(rows) for j, v in enumerate(row)]
+    assert [(r.type, r.text) for r in e if r.kind == "form"] == [("agree", "Yes"), ("name", "Bob")]
+
+
+def test_commands(spark, folder, capsys):
+    from folioworks import cli
+
+    assert "Needs OCR: yes" in cli.main(["check", str(folder / "scan.pdf")], spark) and "Page 1: OCR" in capsys.readouterr().out
+    got = json.loads(cli.main(["check", str(folder / "digital.pdf"), "--format", "json"], spark))
+    assert got["needs_ocr"] is False and "signals" not in got
+    assert "Total: 2" in cli.main(["batch", str(folder), "--limit", "2", "--extensions", "txt", "html", "pptx"], spark)
+    s = cli.main(["batch", str(folder), "--format", "json", "--output", str(folder.parent / "results")], spark)
+    assert "Files with errors: 3" in s and spark.read.json(str(folder.parent / "results")).count() == 7
+    again = cli.batch(spark, str(folder), "summary", resume=str(folder.parent / "results"), extensions=["pdf"])
+    assert "Total files found: 2" in again
+    page = cli.batch(spark, str(folder), "html")
+    assert "<style>" in page and 'class="card"' in page and page.count('<tr class="') == 7 and cli.check(spark, str(folder / "no.pdf")).endswith("not found")
+
+
+def test_report_says_what_it_leaves_out(spark):
+    from folioworks.operators import reports
+
+    df = spark.createDataFrame([(f"f{i:03}", "pdf", i % 2 == 0, 0.9, "X") for i in range(30)], "file_path string, file_type string, needs_ocr boolean, confidence double, reason_code string")
+    page = reports.html_report(df, most=10, theme="dark", made="2024-01-01")
+    assert "The first 10 of 30 rows." in page and page.count('<tr class="high"') == 10 and "15 (50.0%)" in page
+
+
+def test_table_and_aggregate_functions(spark):
+    from folioworks.functions.udfs import TextPages, trimmed_mean
+
+    assert [tuple(r) for r in TextPages(F.lit("a\fb")).collect()] == [(1, "a"), (2, "b")] and TextPages(F.lit(None).cast("string")).count() == 0
+    df = spark.createDataFrame([("a", float(i)) for i in range(9)] + [("a", 1000.0)], "k string, v double")
+    assert df.groupBy("k").agg(trimmed_mean("v").alias("m")).head().m == 4.5
