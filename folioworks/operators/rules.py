@@ -55,19 +55,13 @@ def ladder(df: DataFrame, rules: list[Rule], score: str) -> DataFrame:
     which = F.coalesce(*[F.when(x.when, F.lit(i)) for i, x in enumerate(rules)])
     df = df.withColumn("__rule", which)
 
-    def pick(value) -> Column:
-        groups: dict = {}
-        for i, x in enumerate(rules):
-            groups.setdefault(value(x), []).append(i)
-        out = None
-        for v, own in groups.items():
-            c = F.col("__rule").isin(own)
-            out = F.when(c, F.lit(v)) if out is None else out.when(c, F.lit(v))
-        return out
-
-    needs = pick(lambda x: x.needs)
-    by_score = F.greatest(score_confidence(F.col(score), needs), pick(lambda x: float(x.floor)))
-    out = df.withColumns({"rule": pick(lambda x: x.name), "needs_ocr": needs, "reason_code": pick(lambda x: x.code), "confidence": F.coalesce(pick(lambda x: x.fixed), by_score)})
+    def pick(value, kind: str) -> Column:
+        """The rule's own value: a constant array, looked up by the rule's number."""
+        return F.element_at(F.array(*[F.lit(value(x)).cast(kind) for x in rules]), F.col("__rule") + 1)
+
+    needs = pick(lambda x: x.needs, "boolean")
+    by_score = F.greatest(score_confidence(F.col(score), needs), pick(lambda x: float(x.floor), "double"))
+    out = df.withColumns({"rule": pick(lambda x: x.name, "string"), "needs_ocr": needs, "reason_code": pick(lambda x: x.code, "string"), "confidence": F.coalesce(pick(lambda x: x.fixed, "double"), by_score)})
     return out.withColumn("category", F.when(F.col("needs_ocr"), "unstructured").otherwise("structured")).drop("__rule")
 
 
