@@ -76,8 +76,19 @@ def stretches(x: np.ndarray, at: np.ndarray, window: int, gram: int):
     return rolling, g, m[start], start, end - start, doc
 
 
-def entries(rows: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
-    """ENTRIES of the rows from ``keyed``; one Arrow pass."""
+def range_of(fp: np.ndarray, sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the sorted bounds (fp, sh) are at most each row's."""
+    low, high = np.searchsorted(bounds[:, 0], fp, "left"), np.searchsorted(bounds[:, 0], fp, "right")
+    out = low.copy()
+    for a in np.unique(low[high > low]).tolist():  # rows whose anchor is that of a bound
+        rows = (low == a) & (high > a)
+        z = int(high[rows][0])
+        out[rows] = a + np.searchsorted(bounds[a:z, 1], sh[rows], "right")
+    return out
+
+
+def entries(rows: DataFrame, window: int, gram: int, by_word: bool, bounds: np.ndarray | None = None) -> DataFrame:
+    """ENTRIES of the rows from ``keyed``, and with ``bounds`` the range of each; one Arrow pass."""
 
     def run(batches):
         for batch in batches:
@@ -88,9 +99,24 @@ def entries(rows: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame
                 sh = _text.Rolling(second(data, at, by_word)).of(start, start + n + window - 1)
                 index = pa.array(doc)
                 columns = [pa.array(fp.view(np.int64)), pa.array(sh.view(np.int64)), b.column(0).take(index), b.column(1).take(index), pa.array(start - s_at[doc], pa.int32()), pa.array(n, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+                if bounds is not None:
+                    columns.append(pa.array(range_of(columns[0].to_numpy(), columns[1].to_numpy(), bounds), pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES if bounds is None else [*NAMES, "range"])
+
+    return rows.select("doc", "th", "text").mapInArrow(run, ENTRIES if bounds is None else ENTRIES + ", range int")
 
-    return rows.select("doc", "th", "text").mapInArrow(run, ENTRIES)
+
+def bounds_of(rows: DataFrame, window: int, gram: int, by_word: bool, sampled: int = 2000) -> np.ndarray | None:
+    """Bounds of ranges of about equal shares of the entries, from those of some ``sampled`` rows (more for many ranges); None if that are too few to tell."""
+    ranges = width(rows.sparkSession)
+    n, sampled = rows.select("doc").count(), max(sampled, 2 * ranges)
+    if n <= sampled:  # Spark's own sampling costs no more
+        return None
+    some = entries(rows.sample(min(1.0, 1.2 * sampled / n), 1), window, gram, by_word)
+    keys = some.select("fp", "sh").limit(400_000).toPandas().sort_values(["fp", "sh"]).to_numpy(np.int64)
+    if len(keys) < 20 * ranges:
+        return None
+    return np.unique(keys[[len(keys) * k // ranges for k in range(1, ranges)]].reshape(-1, 2), axis=0)
 
 
 ORDER = ["fp", "sh", "doc", "th", "start", "n"]
@@ -141,10 +167,16 @@ def kinds(batches, names: list[str] = [*NAMES, "kind"]):
         yield with_kind(held[0], np.array([max(held[1], 2) if held[1] != 1 else 1], np.int32))
 
 
-def flagged(all_entries: DataFrame) -> DataFrame:
-    """The entries, range-sorted, with their kind."""
-    spark = all_entries.sparkSession
-    return all_entries.repartitionByRange(width(spark), *ORDER).sortWithinPartitions(*ORDER).mapInArrow(kinds, FLAGGED)
+def flagged(rows: DataFrame, window: int, gram: int, by_word: bool, **settings) -> DataFrame:
+    """The entries of the rows, range-sorted, with their kind.
+
+    Ranges come from some rows' entries, so that those of all rows are made once; where
+    that tells too little, Spark samples all entries, which makes them twice.
+    """
+    n, bounds = width(rows.sparkSession), bounds_of(rows, window, gram, by_word, **settings)
+    found = entries(rows, window, gram, by_word, bounds)
+    ranged = found.repartitionByRange(n, *ORDER) if bounds is None else found.repartitionById(n, "range").drop("range")
+    return ranged.sortWithinPartitions(*ORDER).mapInArrow(kinds, FLAGGED)
 
 
 def to_compare(rows: DataFrame, doubtful: DataFrame) -> DataFrame:

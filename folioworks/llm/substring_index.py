@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats, _text
+from ._repeats import range_of
 from ._spark import delete, filesystem, shared_path, width, written
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -50,17 +51,6 @@ RUN = _repeats.ENTRIES + ", bucket int, old boolean, kind int"
 RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
 
 
-def range_of(fp: np.ndarray, sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many of the sorted bounds (fp, sh) are at most each row's."""
-    low, high = np.searchsorted(bounds[:, 0], fp, "left"), np.searchsorted(bounds[:, 0], fp, "right")
-    out = low.copy()
-    for a in np.unique(low[high > low]).tolist():  # rows whose anchor is that of a bound
-        rows = (low == a) & (high > a)
-        z = int(high[rows][0])
-        out[rows] = a + np.searchsorted(bounds[a:z, 1], sh[rows], "right")
-    return out
-
-
 def run_file(uri: str, most: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """A run's rows that count later: the batch's own ones, each stretch at its first place."""
     import pyarrow.compute as pc

@@ -2,8 +2,9 @@
 
 Texts are taken as UTF-8 bytes.  Stretches of windows with the same anchor (see
 ``_repeats``) that are equal as a whole are settled by their hashes.  The others, the
-ragged edges of repeats, go to shards by a core of bytes that all their windows hold;
-each shard's strings get a suffix array by induced sorting (SA-IS): suffixes are
+ragged edges of repeats, go to shards by a core of bytes that all their windows hold.
+In a shard, windows whose hash is alone are no repeats, and pieces with the very bytes
+of an earlier one are; the rest get a suffix array by induced sorting (SA-IS): suffixes are
 classified, leftmost-smaller (LMS) substrings sorted by one induction and named by
 comparison, their order refined recursively, whatever the number of names, and all
 suffixes induced from it.  From the array follow the permuted common prefixes (only
@@ -254,6 +255,49 @@ def later_windows(strings: list[np.ndarray] | np.ndarray, starts: np.ndarray, co
     return later[each]
 
 
+def repeats_among(data: np.ndarray, at: np.ndarray, n: np.ndarray, window: int, passes: int = 3) -> np.ndarray:
+    """Of the windows of all strings (``n`` each, from ``at``), in order, those that one before equals.
+
+    Equal windows have equal hashes, so one whose hash no other has is no repeat.  Of
+    what is left without such windows, a piece with the very bytes of one before it holds
+    nothing but repeats; without these pieces more windows are alone, so the others are
+    looked at again.  What then is left goes into a suffix array.
+    """
+    each = np.repeat(at, n) + _text.spread(n)
+    again = np.zeros(len(each), bool)
+    if not len(each):
+        return again
+    h = _text.Rolling(_text.BYTE_KEY[data]).windows(window)[each]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    shared = np.zeros(len(h), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    # pieces: runs of such windows in one string
+    new = np.ones(len(each), bool)
+    new[1:] = ~shared[:-1]
+    new[np.cumsum(n)[:-1][np.cumsum(n)[:-1] < len(each)]] = True
+    first = np.flatnonzero(new & shared)
+    if not len(first):
+        return again
+    count = np.add.reduceat(shared.astype(np.int64), first)
+    whole, seen = data.tobytes(), set()
+    copy = np.zeros(len(first), bool)
+    for i, (a, z) in enumerate(zip(each[first].tolist(), (each[first] + count + window - 1).tolist())):
+        piece = whole[a:z]
+        copy[i] = piece in seen
+        seen.add(piece)
+    own, size = first[~copy], count[~copy]
+    if copy.any() and passes > 1:
+        again[_spans(own, size)] = repeats_among(data, each[own], size, window, passes - 1)
+    else:
+        heads = np.cumsum(size + window) - size - window  # a 0 ends each piece
+        joined = np.zeros(int((size + window).sum()), np.uint8)
+        joined[_spans(heads, size + window - 1)] = data[_spans(each[own], size + window - 1)]
+        again[_spans(own, size)] = later_windows(joined, heads, size, window)
+    again[_spans(first[copy], count[copy])] = True
+    return again
+
+
 # ------------------------------------------------------------------ tables
 
 
@@ -270,7 +314,12 @@ def _strings(rows: DataFrame, window: int, gram: int) -> DataFrame:
     half = w // 2
 
     def run(batches):
+        done: set[tuple[int, int]] = set()  # repeated rows of the table meet in one task; the few that skew may part, _shards drops
         for batch in batches:
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [x not in done and not done.add(x) for x in names]
+            if not all(fresh):
+                batch = batch.filter(pa.array(fresh))
             for b in _text.blocks(batch, "text", 1 << 20):
                 data, at = _text.raw(b.column(2))
                 x = _text.BYTE_KEY[data]
@@ -327,10 +376,9 @@ def _split(strings: DataFrame, window: int, width: int = 8) -> DataFrame:
     return strings.mapInArrow(run, STRINGS)
 
 
-def _shared_cores(strings: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The cores of two strings or more, and those of more than ``shard_rows``: at most one for each so many strings."""
-    shared = strings.groupBy("core").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return shared.select("core"), written(shared.where(F.col("rows") > shard_rows).select("core"), "hot")
+def _hot(strings: DataFrame, shard_rows: int) -> DataFrame:
+    """The cores of more than ``shard_rows`` strings: at most one for each so many strings."""
+    return written(strings.groupBy("core").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > shard_rows).select("core"), "hot")
 
 
 def _shards(strings: DataFrame, window: int, shard_bytes: int) -> DataFrame:
@@ -338,13 +386,14 @@ def _shards(strings: DataFrame, window: int, shard_bytes: int) -> DataFrame:
 
     def run(batches):
         for t in whole_groups(batches, ["core"], shard_bytes, "size"):
-            size, n, start = t.column(5).to_numpy(), t.column(4).to_numpy().astype(np.int64), t.column(3).to_numpy().astype(np.int64)
+            own = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            again = np.r_[False, (own[:, 1:] == own[:, :-1]).all(axis=0)]
+            if again.any():  # one place, not two
+                t = t.filter(pa.array(~again))
+            n, start = t.column(4).to_numpy().astype(np.int64), t.column(3).to_numpy().astype(np.int64)
             doc, th = t.column(1).to_numpy(), t.column(2).to_numpy()
             data, at = _binary(t.column(6))
-            joined = np.zeros(len(data) + len(size), np.uint8)
-            heads = at[:-1] + np.arange(len(size))
-            joined[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
-            later = later_windows(joined, heads, n, window)
+            later = repeats_among(data, at[:-1], n, window)
             row = np.repeat(np.arange(len(n)), n)[later]
             pos = (start[row] + _text.spread(n)[later]).astype(np.int64)
             new = np.ones(len(pos), bool)
@@ -379,16 +428,16 @@ def _windows(strings: DataFrame, window: int) -> DataFrame:
 
 def repeated_bytes(rows: DataFrame, window: int = 100, gram: int = 24, shard_bytes: int = 1 << 20, shard_rows: int = 10_000) -> DataFrame:
     """doc, th, start, n: the windows of each document (as stretches) that an equal one precedes."""
-    seen = written(_repeats.flagged(_repeats.entries(rows, window, gram, by_word=False)).where("kind > 0"), "stretches")
+    seen = written(_repeats.flagged(rows, window, gram, by_word=False).where("kind > 0"), "stretches")
     doubtful = seen.where("kind = 2").select("fp", "doc", "th", "start", "n")
-    strings = written(_strings(_repeats.to_compare(rows, doubtful), window, gram).dropDuplicates(["core", "doc", "th", "start"]), "strings")
+    strings = written(_strings(_repeats.to_compare(rows, doubtful), window, gram), "strings")
     found = seen.where("kind = 1").select("doc", "th", "start", "n").distinct()
     for last in (False, True):
-        shared, hot = _shared_cores(strings, shard_rows)
-        found = found.unionByName(_shards(strings.join(shared, "core", "left_semi").join(hot.hint("shuffle_hash"), "core", "left_anti"), window, shard_bytes))
+        hot = _hot(strings, shard_rows)
         if not hot.head(1):
-            return found
-        crowd = strings.join(hot.hint("shuffle_hash"), "core", "left_semi")
+            return found.unionByName(_shards(strings, window, shard_bytes))
+        found = found.unionByName(_shards(strings.join(F.broadcast(hot), "core", "left_anti"), window, shard_bytes))
+        crowd = strings.join(F.broadcast(hot), "core", "left_semi")
         if last:
             return found.unionByName(_repeats.first_places(_windows(crowd, window)))
         strings = written(_split(crowd, window), "strings")

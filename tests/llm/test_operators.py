@@ -329,6 +329,46 @@ def test_suffix_dedup(docs, shard_rows):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs, shard_rows=shard_rows).collect()} == want
 
 
+def test_suffix_dedup_ranges_from_sample(awkward, monkeypatch):
+    """Ranges that are told from some entries, and Spark's own: the same result; no sampling of all entries with them."""
+    from folioworks.llm import _repeats
+    from folioworks.llm.suffix_dedup import suffix_dedup
+
+    want = sorted(map(str, suffix_dedup(awkward).collect()))
+    rows = _repeats.keyed(awkward)
+    keys = _repeats.entries(rows, 100, 24, False).select("fp", "sh").toPandas().sort_values(["fp", "sh"]).to_numpy(np.int64)
+    bounds = np.unique(keys[[len(keys) * k // 4 for k in (1, 2, 3)]], axis=0)
+    monkeypatch.setattr(_repeats, "bounds_of", lambda *a: bounds)
+    plan = _repeats.flagged(rows, 100, 24, False)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan.lower()
+    assert sorted(map(str, suffix_dedup(awkward).collect())) == want
+    monkeypatch.undo()
+    many = awkward.sparkSession.range(400).selectExpr("id AS doc_id", "repeat(concat(sha2(cast(id % 300 AS string), 256), sha2(cast(id AS string), 256)), 12) AS text")
+    assert 1 <= len(_repeats.bounds_of(_repeats.keyed(many), 100, 24, False, sampled=100)) <= 3
+
+
+def test_suffix_arrays_of_repeats_only(monkeypatch):
+    """Of a crowd that shares a core, only what may repeat goes into a suffix array, once each; the result is that of comparing all windows."""
+    from folioworks.llm import suffix_dedup
+
+    r = np.random.default_rng(2)
+    piece = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    core, sizes, real = piece(62), [], suffix_dedup.later_windows
+    monkeypatch.setattr(suffix_dedup, "later_windows", lambda data, *a: sizes.append(len(data)) or real(data, *a))
+    crowd = [piece(38) + core + piece(38) for _ in range(1000)]
+    crowd += [crowd[0], crowd[7][20:], crowd[7][:-9], crowd[3] + crowd[4]] + [crowd[5]] * 50
+    for strings, most in ((crowd, 1500), ([b"ab" * int(k) for k in r.integers(50, 70, 40)], 10**6), (crowd[:1000], 0), ([crowd[9]], 0), ([], 0)):
+        sizes.clear()
+        size = np.array([len(x) for x in strings], np.int64)
+        got = suffix_dedup.repeats_among(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size - 99, 100)
+        seen, want = set(), []
+        for x in strings:
+            for i in range(len(x) - 99):
+                want.append(x[i : i + 100] in seen)
+                seen.add(x[i : i + 100])
+        assert got.tolist() == want and sum(sizes) <= most
+
+
 def test_suffix_array():
     from folioworks.llm.suffix_dedup import later_windows, permuted_common_prefixes, suffix_array
 
