@@ -16,6 +16,7 @@ from ..operators.similar import similar_to
 from ..sources import files
 from ..streaming import streams
 from . import oracles
+from .shares import by_document
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -524,9 +525,10 @@ def price_spacing(spark, d):
 
 def line_items(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order repeat their number in these tables; part and quantity make the ordinal one row's."""
-    li = table(spark, d, "lineitem")
-    ordinal = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    return li.select(F.col("l_orderkey").alias("file_path"), ordinal.alias("ordinal"), F.concat(F.lit(" Part  "), F.col("l_partkey") % 3).alias("description"), F.lit(5.0).alias("unit_price"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity") * 5).alias("total"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    li = by_document(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path"), *order))
+    li = li.withColumn("ordinal", F.row_number().over(Window.partitionBy("file_path").orderBy(*order)))
+    return li.select("file_path", "ordinal", F.concat(F.lit(" Part  "), F.col("l_partkey") % 3).alias("description"), F.lit(5.0).alias("unit_price"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity") * 5).alias("total"))
 
 
 @query
