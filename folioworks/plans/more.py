@@ -14,6 +14,7 @@ from ..operators import batch, drivers, extract, geometry, lines, markdown, page
 from ..sinks import outputs
 from ..sources import files
 from . import oracles as O
+from .shares import by_document
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -321,7 +322,8 @@ def page_pruning(spark, d):
 @query("""WITH p AS (SELECT l_orderkey AS file_path, unnest(range(1, 2 + l_orderkey % 12))::INT AS page_number FROM (SELECT DISTINCT l_orderkey FROM lineitem)), c AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n FROM p), f AS (SELECT *, CASE WHEN page_number = 1 THEN 0 WHEN page_number - 1 = n // 2 THEN 1 WHEN page_number = n THEN 2 END AS fx FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY file_path, fx IS NULL ORDER BY md5(concat(file_path, ':', page_number)), page_number) AS k FROM f), s AS (SELECT file_path, page_number, CAST(CASE WHEN n <= 5 THEN page_number - 1 WHEN fx IS NOT NULL THEN fx WHEN k <= 2 THEN k + 2 END AS INT) AS sample_place FROM r) SELECT * FROM s WHERE sample_place < 4""")
 def page_sampling(spark, d):
-    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path")).distinct().select("file_path", F.explode(F.sequence(F.lit(1), (F.col("file_path") % 12 + 1).cast("int"))).alias("page_number"))
+    docs = by_document(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path"))).distinct()
+    p = docs.select("file_path", F.explode(F.sequence(F.lit(1), (F.col("file_path") % 12 + 1).cast("int"))).alias("page_number"))
     return geometry.sampled_pages(p, most=4)
 
 
