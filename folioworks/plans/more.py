@@ -36,11 +36,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """Lines of orders as boxes on pages, numbered within their order."""
-    li = table(spark, d, "lineitem")
-    ordinal = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    li = by_document(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path"), *order, "l_discount", "l_tax"))
+    li = li.withColumn("ordinal", F.row_number().over(Window.partitionBy("file_path").orderBy(*order)))
     x, y = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") * 7 % 750).cast("double")
     return li.select(
-        F.col("l_orderkey").alias("file_path"), ordinal.cast("long").alias("ordinal"), (F.col("l_linenumber") % 2 + 1).cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity") * 3).alias("x1"), (y + F.col("l_quantity")).alias("y1"),
+        "file_path", F.col("ordinal").cast("long").alias("ordinal"), (F.col("l_linenumber") % 2 + 1).cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity") * 3).alias("x1"), (y + F.col("l_quantity")).alias("y1"),
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
     )
 

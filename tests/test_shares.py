@@ -9,7 +9,7 @@ from folioworks.plans import shares
 from folioworks.plans.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["page_sampling", "table_confidence"])
+@pytest.mark.parametrize("name", ["page_sampling", "table_confidence", "table_quality_filter"])
 def test_partitions_follow_rows(spark, duck, data, name, monkeypatch):
     monkeypatch.setattr(shares, "ROWS", 500)
     out = QUERIES[name](spark, data)
