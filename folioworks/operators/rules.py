@@ -1,12 +1,13 @@
 """The decision ladder, the vision gate and the refinement ladder, as Column expressions.
 
-A ladder first finds which rule fires (one CASE); verdict, confidence and code follow
-from the rule, so no predicate is evaluated once for each output column.
+A ladder first finds which rule fires (one CASE); verdict, confidence and code are looked
+up by its number, so no predicate is evaluated once for each output column.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ DESCRIPTIONS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """needs None: the initial verdict stays.  fixed: the confidence, else the score's, at least ``floor``."""
+    """needs None: the initial verdict stays.  fixed: the confidence, else the score's, at least ``floor``.  of: what rules in a row have in common, asked once for all of them; the last of them must always fire."""
 
     name: str
     when: Column
@@ -43,6 +44,7 @@ class Rule:
     code: str
     fixed: float | None = None
     floor: float = 0.0
+    of: Column | None = None
 
 
 def reason(code: Column) -> Column:
@@ -50,20 +52,30 @@ def reason(code: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), code), F.concat(F.lit("Unknown reason code: "), code))
 
 
+def first_rule(rules: list[Rule]) -> Column:
+    """The number of the first rule that fires.
+
+    One chain of cases, and one within it for rules that share a condition: the JVM
+    doesn't compile a method of more than 8,000 bytes, and interprets it for each row.
+    """
+    out = None
+    for _, run in groupby(enumerate(rules), lambda x: x[0] if x[1].of is None else id(x[1].of)):
+        own = list(run)
+        inner = None
+        for i, x in own:
+            inner = F.when(x.when, F.lit(i)) if inner is None else inner.when(x.when, F.lit(i))
+        shared = own[0][1].of
+        condition, value = (own[0][1].when, F.lit(own[0][0])) if shared is None else (shared, inner)
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return out
+
+
 def ladder(df: DataFrame, rules: list[Rule], score: str) -> DataFrame:
     """Adds rule, needs_ocr, confidence, category, reason_code: those of the first rule that fires."""
-    which = F.coalesce(*[F.when(x.when, F.lit(i)) for i, x in enumerate(rules)])
-    df = df.withColumn("__rule", which)
+    df = df.withColumn("__rule", first_rule(rules))
 
     def pick(value) -> Column:
-        groups: dict = {}
-        for i, x in enumerate(rules):
-            groups.setdefault(value(x), []).append(i)
-        out = None
-        for v, own in groups.items():
-            c = F.col("__rule").isin(own)
-            out = F.when(c, F.lit(v)) if out is None else out.when(c, F.lit(v))
-        return out
+        return F.element_at(F.array(*[F.lit(value(x)) for x in rules]), F.col("__rule") + 1)
 
     needs = pick(lambda x: x.needs)
     by_score = F.greatest(score_confidence(F.col(score), needs), pick(lambda x: float(x.floor)))
@@ -74,11 +86,14 @@ def ladder(df: DataFrame, rules: list[Rule], score: str) -> DataFrame:
 def decide(signals: DataFrame, config: Config = Config()) -> DataFrame:
     """One verdict for each signals row; ``ocr_score`` is added, too."""
     c = config
-    mime, ext = F.coalesce(F.col("mime"), F.lit("")), F.coalesce(F.col("extension"), F.lit(""))
-    n, ic, tc = zero("text_length"), zero("image_coverage"), zero("text_coverage")
     columns = signals.columns
     vis = {k: zero(f"vision_{k}") if f"vision_{k}" in columns else F.lit(0.0) for k in ("text_coverage", "image_coverage")}
-    etc, eic = F.when(vis["text_coverage"] > 0, vis["text_coverage"]).otherwise(tc), F.when(vis["image_coverage"] > 0, vis["image_coverage"]).otherwise(ic)
+    own = {
+        "mime": F.coalesce(F.col("mime"), F.lit("")), "ext": F.coalesce(F.col("extension"), F.lit("")), "n": zero("text_length"), "ic": zero("image_coverage"), "tc": zero("text_coverage"),
+        "etc": F.when(vis["text_coverage"] > 0, vis["text_coverage"]).otherwise(zero("text_coverage")), "eic": F.when(vis["image_coverage"] > 0, vis["image_coverage"]).otherwise(zero("image_coverage")),
+    }
+    signals = signals.withColumns({f"__{k}": v for k, v in own.items()})
+    mime, ext, n, ic, tc, etc, eic = (F.col(f"__{k}") for k in own)
     df = signals.withColumn("ocr_score", ocr_score(eic, c))
     score = F.col("ocr_score")
     pdf = (mime == "application/pdf") | (ext == "pdf")
@@ -97,30 +112,30 @@ def decide(signals: DataFrame, config: Config = Config()) -> DataFrame:
         Rule("office_text", office & (n >= c.min_office_text_length), False, "OFFICE_WITH_TEXT", high),
         Rule("office", office, True, "OFFICE_NO_TEXT", mid),
         Rule("image", mime.startswith("image/"), True, "IMAGE_FILE", high),
-        Rule("hard_digital", pdf & (n >= c.hard_digital_text_threshold), False, "PDF_DIGITAL", high),
-        Rule("hard_scan", pdf & (eic >= c.hard_scan_image_coverage_min) & (n < c.hard_scan_text_max), True, "PDF_SCANNED", high),
-        Rule("no_fonts", pdf & F.coalesce(F.col("font_count") == 0, off) & (n < c.hard_scan_text_max), True, "PDF_SCANNED", high),
-        Rule("noise", pdf & noisy & (n > 0) & (score > 0.6), True, "PDF_SCANNED", floor=0.75),
-        Rule("digital_bias", pdf & digital_bias, False, "PDF_DIGITAL", floor=0.85),
-        Rule("hybrid_scan", pdf & (eic / 100.0 > 0.75) & (n < 30), True, "PDF_SCANNED", floor=0.90),
-        Rule("low_text", pdf & (n < 30) & known & ((ic > 50) | (mixed & (ic > tc))), True, "PDF_SCANNED"),
-        Rule("table_bias", pdf & known & mixed & table_bias, False, "PDF_DIGITAL", floor=0.80),
-        Rule("mixed_text", pdf & known & mixed & enough & (tc > 10), False, "PDF_DIGITAL"),
-        Rule("mixed", pdf & known & mixed, True, "PDF_MIXED"),
-        Rule("image_only", pdf & F.coalesce(F.col("layout_type") == "image_only", off), True, "PDF_SCANNED", floor=0.85),
-        Rule("text_only", pdf & F.coalesce(F.col("layout_type") == "text_only", off) & enough, False, "PDF_DIGITAL", floor=0.85),
-        Rule("text_sparse", pdf & F.coalesce(F.col("layout_type") == "text_only", off), True, "PDF_SCANNED"),
-        Rule("low_band", pdf & (score <= c.ocr_score_low_band_max), False, "PDF_DIGITAL"),
-        Rule("high_band", pdf & (score >= c.ocr_score_high_band_min), True, "PDF_SCANNED"),
-        Rule("borderline_text", pdf & enough, False, "PDF_DIGITAL"),
-        Rule("borderline", pdf, True, "PDF_SCANNED"),
+        Rule("hard_digital", n >= c.hard_digital_text_threshold, False, "PDF_DIGITAL", high, of=pdf),
+        Rule("hard_scan", (eic >= c.hard_scan_image_coverage_min) & (n < c.hard_scan_text_max), True, "PDF_SCANNED", high, of=pdf),
+        Rule("no_fonts", F.coalesce(F.col("font_count") == 0, off) & (n < c.hard_scan_text_max), True, "PDF_SCANNED", high, of=pdf),
+        Rule("noise", noisy & (n > 0) & (score > 0.6), True, "PDF_SCANNED", floor=0.75, of=pdf),
+        Rule("digital_bias", digital_bias, False, "PDF_DIGITAL", floor=0.85, of=pdf),
+        Rule("hybrid_scan", (eic / 100.0 > 0.75) & (n < 30), True, "PDF_SCANNED", floor=0.90, of=pdf),
+        Rule("low_text", (n < 30) & known & ((ic > 50) | (mixed & (ic > tc))), True, "PDF_SCANNED", of=pdf),
+        Rule("table_bias", known & mixed & table_bias, False, "PDF_DIGITAL", floor=0.80, of=pdf),
+        Rule("mixed_text", known & mixed & enough & (tc > 10), False, "PDF_DIGITAL", of=pdf),
+        Rule("mixed", known & mixed, True, "PDF_MIXED", of=pdf),
+        Rule("image_only", F.coalesce(F.col("layout_type") == "image_only", off), True, "PDF_SCANNED", floor=0.85, of=pdf),
+        Rule("text_only", F.coalesce(F.col("layout_type") == "text_only", off) & enough, False, "PDF_DIGITAL", floor=0.85, of=pdf),
+        Rule("text_sparse", F.coalesce(F.col("layout_type") == "text_only", off), True, "PDF_SCANNED", of=pdf),
+        Rule("low_band", score <= c.ocr_score_low_band_max, False, "PDF_DIGITAL", of=pdf),
+        Rule("high_band", score >= c.ocr_score_high_band_min, True, "PDF_SCANNED", of=pdf),
+        Rule("borderline_text", enough, False, "PDF_DIGITAL", of=pdf),
+        Rule("borderline", F.lit(True), True, "PDF_SCANNED", of=pdf),
         Rule("structured", mime.isin("application/json", "application/xml") | ext.isin("json", "xml"), False, "STRUCTURED_DATA", high),
         Rule("html_text", html & enough, False, "HTML_WITH_TEXT", high),
         Rule("html", html, True, "HTML_MINIMAL", low),
         Rule("binary", F.coalesce(F.col("is_binary"), off), True, "UNKNOWN_BINARY", low),
         Rule("unknown", F.lit(True), True, "UNRECOGNIZED_TYPE", low),
     ]
-    return ladder(df, rules, "ocr_score")
+    return ladder(df, rules, "ocr_score").drop(*(f"__{k}" for k in own))
 
 
 def vision_gate(decided: DataFrame, layout_aware: bool = False, config: Config = Config()) -> DataFrame:

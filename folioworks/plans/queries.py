@@ -447,8 +447,8 @@ def threshold_sweep(spark, d):
 
 @query
 def agreement_rate(spark, d):
-    a = rules.decide(grid(spark, d)).select("file_path", F.col("needs_ocr").alias("a"))
-    b = rules.decide(grid(spark, d), PRESETS["cost"]).select("file_path", F.col("needs_ocr").alias("b"))
+    a = by_document(rules.decide(grid(spark, d)).select("file_path", F.col("needs_ocr").alias("a")))
+    b = by_document(rules.decide(grid(spark, d), PRESETS["cost"]).select("file_path", F.col("needs_ocr").alias("b")))
     return a.join(b, "file_path").agg(F.count(F.lit(1)).alias("n"), exact_avg((F.col("a") == F.col("b")).cast("double"), 4).alias("agreement"))
 
 

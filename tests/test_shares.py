@@ -9,7 +9,7 @@ from folioworks.plans import shares
 from folioworks.plans.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["page_sampling", "table_confidence", "table_quality_filter"])
+@pytest.mark.parametrize("name", ["agreement_rate", "page_sampling", "table_confidence", "table_quality_filter"])
 def test_partitions_follow_rows(spark, duck, data, name, monkeypatch):
     monkeypatch.setattr(shares, "ROWS", 500)
     out = QUERIES[name](spark, data)
@@ -17,3 +17,12 @@ def test_partitions_follow_rows(spark, duck, data, name, monkeypatch):
     dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), ", plan)]
     assert dealt and min(dealt) >= spark.read.parquet(f"{data}/lineitem.parquet").count() / 500
     assert rows(out.toPandas()) == rows(duck.sql(ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["decide_default", "decide_preset_cost", "vision_gate"])
+def test_ladders_are_compiled(spark, data, name, capsys):
+    """The JVM interprets methods of more than 8,000 bytes; agreement_rate decides twice as these do."""
+    capsys.readouterr()
+    QUERIES[name](spark, data).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
