@@ -182,27 +182,38 @@ def line_items(cells: DataFrame, keys: tuple[str, ...] = ("file_path", "table"))
     return out.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
 
 
+ERRORS = ("duplicate_element_ids", "path_missing", "reading_order_mismatch")
+FLAGS = tuple(sorted((*ERRORS, "column_inconsistent", "method_invalid", "missing_ref_ranges", "numeric_parse_failures")))
+
+
 def validation(documents: DataFrame, ids: DataFrame, reading: DataFrame, cells: DataFrame, key: str = "file_path") -> DataFrame:
     """Each document (path, method) with its flags in alphabetical order, n_flags and status (VALID, WARNING, ERROR).
 
     Duplicate ids, ids of the reading order that nothing has, and an empty path are
     errors; an unknown method, uneven rows, numbers that don't parse and more than two
-    rows without a reference range are warnings.
+    rows without a reference range are warnings.  Each table is read once and summed up
+    by document; of inputs that are partitioned alike by the key nothing is shuffled.
     """
-    flag = lambda df, name: df.select(key, F.lit(name).alias("flag")).distinct()
-    twice = flag(ids.groupBy(key, "element_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate_element_ids")
-    lost = flag(reading.join(ids.select(key, "element_id").distinct(), [key, "element_id"], "left_anti"), "reading_order_mismatch")
-    bare = flag(documents.where("trim(coalesce(path, '')) = ''"), "path_missing")
-    odd = flag(documents.where(~F.coalesce(F.col("method"), F.lit("")).isin("native", "ocr", "pdfplumber", "pymupdf")), "method_invalid")
     t = F.trim(F.coalesce("text", F.lit("")))
-    row = cells.groupBy(key, "table", "row").agg(F.count(F.lit(1)).alias("n"), F.max_by(t, "col").alias("last"))
-    uneven = flag(row.groupBy(key, "table").agg(F.count_distinct("n").alias("k")).where("k > 1"), "column_inconsistent")
-    number = t.rlike(r"^[\d\s.,\-+%]+$")
-    failed = flag(cells.where(number & F.regexp_replace(t, "[, ]", "").try_cast("double").isNull()), "numeric_parse_failures")
-    no_range = (F.length("last") < 50) & (F.col("last") != "") & ~F.col("last").rlike(r"[\d.]+\s*[-–]\s*[\d.]+") & ~F.col("last").rlike(r"^\d+$")
-    missing = flag(row.where(no_range).groupBy(key, "table").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "missing_ref_ranges")
-    flags = twice.unionByName(lost).unionByName(bare).unionByName(odd).unionByName(uneven).unionByName(failed).unionByName(missing)
-    worst = F.bool_or(F.col("flag").isin("duplicate_element_ids", "reading_order_mismatch", "path_missing"))
-    g = flags.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"), F.count(F.lit(1)).alias("n_flags"), worst.alias("bad"))  # seven at most
-    status = F.when(F.col("bad"), "ERROR").when(F.col("n_flags") > 0, "WARNING").otherwise("VALID")
-    return documents.select(key).join(g, key, "left").select(key, F.coalesce("flags", F.lit("")).alias("flags"), F.coalesce("n_flags", F.lit(0)).alias("n_flags"), status.alias("status"))
+    no_range = (F.length(t) < 50) & (t != "") & ~t.rlike(r"[\d.]+\s*[-–]\s*[\d.]+") & ~t.rlike(r"^\d+$")
+    failed = t.rlike(r"^[\d\s.,\-+%]+$") & F.regexp_replace(t, "[, ]", "").try_cast("double").isNull()
+    row = cells.groupBy(key, "table", "row").agg(F.count(F.lit(1)).alias("n"), F.max_by(no_range, "col").alias("no_range"), F.bool_or(failed).alias("numeric_parse_failures"))
+    table = row.groupBy(key, "table").agg((F.min("n") != F.max("n")).alias("column_inconsistent"), (F.count_if("no_range") > 2).alias("missing_ref_ranges"), F.bool_or("numeric_parse_failures").alias("numeric_parse_failures"))
+    named = ids.select(key, "element_id", F.lit(1).alias("has"), F.lit(0).alias("read")).unionByName(reading.select(key, "element_id", F.lit(0).alias("has"), F.lit(1).alias("read")))
+    name = named.groupBy(key, "element_id").agg(F.sum("has").alias("has"), F.sum("read").alias("read"))
+    found = (
+        table,
+        name.select(key, (F.col("has") > 1).alias("duplicate_element_ids"), ((F.col("read") > 0) & ((F.col("has") == 0) | F.col("element_id").isNull())).alias("reading_order_mismatch")),
+        documents.select(key, F.lit(1).alias("__n"), (F.trim(F.coalesce("path", F.lit(""))) == "").alias("path_missing"), (~F.coalesce(F.col("method"), F.lit("")).isin("native", "ocr", "pdfplumber", "pymupdf")).alias("method_invalid")),
+    )
+    each = None
+    for x in found:
+        own = x.groupBy(key).agg(*[(F.bool_or(f) if f in x.columns else F.lit(False)).alias(f) for f in FLAGS], (F.sum("__n") if "__n" in x.columns else F.lit(0).cast("long")).alias("__n"))
+        each = own if each is None else each.unionByName(own)
+    g = each.groupBy(key).agg(*[F.bool_or(f).alias(f) for f in FLAGS], F.sum("__n").alias("__n"))
+    on = {f: F.col(key).isNotNull() & F.col(f) for f in FLAGS}
+    n_flags = sum((c.cast("long") for c in on.values()), F.lit(0))
+    bad = on[ERRORS[0]] | on[ERRORS[1]] | on[ERRORS[2]]
+    status = F.when(bad, "ERROR").when(n_flags > 0, "WARNING").otherwise("VALID")
+    out = g.where("__n > 0").select(key, F.concat_ws(",", *[F.when(c, f) for f, c in on.items()]).alias("flags"), n_flags.alias("n_flags"), status.alias("status"), "__n")
+    return out.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).drop("__n")  # as many rows as the document has

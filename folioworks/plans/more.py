@@ -188,10 +188,11 @@ f AS (SELECT file_path, list_filter([CASE WHEN file_path IN (SELECT file_path FR
 SELECT file_path, array_to_string(fl, ',') AS flags, len(fl) AS n_flags, CASE WHEN bad THEN 'ERROR' WHEN len(fl) > 0 THEN 'WARNING' ELSE 'VALID' END AS status FROM f""")
 def validation_status(spark, d):
     k = F.col("file_path")
-    docs = items(spark, d).select("file_path").distinct().select("file_path", F.when(k % 7 == 0, " ").otherwise("x").alias("path"), F.when(k % 5 == 0, "magic").otherwise("native").alias("method"))
-    one = docs.select("file_path", F.lit("e1").alias("element_id"))
-    ids = one.unionByName(docs.select("file_path", F.when(k % 3 == 0, "e1").otherwise("e2").alias("element_id")))
-    reading = one.unionByName(docs.where(k % 4 == 0).select("file_path", F.lit("e9").alias("element_id")))
+    docs = by_document(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path"))).distinct()
+    e1, e2, e9 = F.lit("e1"), F.lit("e2"), F.lit("e9")
+    ids = docs.select("file_path", F.explode(F.array(e1, F.when(k % 3 == 0, e1).otherwise(e2))).alias("element_id"))
+    reading = docs.select("file_path", F.explode(F.when(k % 4 == 0, F.array(e1, e9)).otherwise(F.array(e1))).alias("element_id"))
+    docs = docs.select("file_path", F.when(k % 7 == 0, " ").otherwise("x").alias("path"), F.when(k % 5 == 0, "magic").otherwise("native").alias("method"))
     c = cells(spark, d).where(~((k % 8 == 0) & (F.col("row") == 2) & (F.col("col") == 3))).withColumn("text", F.when((F.col("col") == 2) & (k % 6 == 0), "1-2").otherwise(F.col("text")))
     return tables.validation(docs, ids, reading, c)
 
